@@ -21,10 +21,9 @@ FIRST = FirstPurchaseParams(
 )
 REVERSALS = ReversalParams(period_from=date(1995, 1, 1), period_to=date(2001, 12, 31))
 OPEN = OpenItemParams(
-    reference_date=date(2001, 12, 31),
+    reference_date=date(2001, 8, 31),
     posted_from=date(2001, 5, 1),
     posted_to=date(2001, 12, 31),
-    min_days=150,
 )
 RETURNS = ReturnParams(period_from=date(1995, 1, 1), period_to=date(2001, 12, 31))
 EXTENSIONS = ExtensionParams()
