@@ -7,12 +7,14 @@ customer with a third of all orders adds no single-task step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditrank import fixed_values as fv
 from auditrank.sources.tables import Ledger
 
+DOCUMENT_WIDTH = 12
+
 
 def _text(column, width: int | None = None):
     text = column.cast("string")
@@ -20,58 +22,71 @@ def _text(column, width: int | None = None):
 
 
 def _customer_id(key):
-    return _text(key + F.lit(fv.ID_FLOOR))
+    return _text(F.col(key) + F.lit(fv.ID_FLOOR))
 
 
-def _sales(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(
-        spark.read.parquet(f"{folder}/{name}.parquet") for name in ("customer", "orders", "lineitem")
-    )
+def _document_number(key):
+    return _text(F.col(key), DOCUMENT_WIDTH)
+
+
+def _day_number(name):
+    """Days since 1970, padded so that text order is date order."""
+    return _text(F.unix_date(F.col(name).cast("date")), 6)
+
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
-def _documents(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    """Orders with the keys a ledger document carries."""
-    company = customer.select(
-        F.col("c_custkey").alias("o_custkey"), _text(F.col("c_nationkey") % 5).alias("BUKRS")
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders with company and posting date, keys still as numbers.
+
+    Texts are built after the joins, so only numbers are shuffled.
+    """
+    company = _table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("o_custkey"), (F.col("c_nationkey") % 5).alias("company")
     )
-    posted = F.col("o_orderdate").cast("date")
-    return orders.join(company, "o_custkey").select(
+    return _table(spark, folder, "orders").join(company, "o_custkey").select(
         "o_orderkey",
         "o_custkey",
         "o_orderstatus",
         "o_orderpriority",
-        F.lit("100").alias("MANDT"),
-        "BUKRS",
-        _text(F.col("o_orderkey"), 10).alias("BELNR"),
-        _text(F.year(posted)).alias("GJAHR"),
-        posted.alias("posted"),
+        "company",
+        F.col("o_orderdate").cast("date").alias("posted"),
     )
 
 
-def ledger_views(spark: SparkSession, folder: str) -> Ledger:
-    customer, orders, lineitem = _sales(spark, folder)
-    documents = _documents(customer, orders)
+def _document_key() -> list[Column]:
+    return [
+        F.lit("100").alias("MANDT"),
+        _text(F.col("company")).alias("BUKRS"),
+        _document_number("o_orderkey").alias("BELNR"),
+        _text(F.year("posted")).alias("GJAHR"),
+    ]
+
 
-    kna1 = customer.select(
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return _table(spark, folder, "customer").select(
         F.lit("100").alias("MANDT"),
-        _customer_id(F.col("c_custkey")).alias("KUNNR"),
+        _customer_id("c_custkey").alias("KUNNR"),
         F.col("c_name").alias("NAME1"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 37 % 1600).cast("int")).alias("ERDAT"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (key * 37 % 1600).cast("int")).alias("ERDAT"),
     )
 
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _table(spark, folder, "lineitem")
     term = F.col("l_quantity").cast("int")
     returned = F.col("l_returnflag") == "R"
-    bseg = lineitem.join(documents, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "MANDT",
-        "BUKRS",
-        _customer_id(F.col("o_custkey")).alias("KUNNR"),
-        "BELNR",
-        "GJAHR",
+    return lines.join(_documents(spark, folder).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *_document_key(),
+        _customer_id("o_custkey").alias("KUNNR"),
         F.concat(
             _text(F.col("l_linenumber"), 2),
             _text(F.col("l_partkey"), 10),
             _text(F.col("l_suppkey"), 10),
-            F.date_format("l_shipdate", "yyyyMMdd"),
+            _day_number("l_shipdate"),
         ).alias("BUZEI"),
         F.col("posted").alias("H_BUDAT"),
         F.col("posted").alias("H_BLDAT"),
@@ -89,39 +104,44 @@ def ledger_views(spark: SparkSession, folder: str) -> Ledger:
         _text(F.col("l_suppkey") % 5).alias("GSBER"),
     )
 
-    # The first document of a customer's year refers to the last one, all
-    # others refer to the first; a lone document has no reference.
-    ends = documents.groupBy("o_custkey", "GJAHR").agg(
-        F.min("BELNR").alias("first"), F.max("BELNR").alias("last")
+
+def _headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Document headers with a reference to another document of the year.
+
+    The first document of a customer's year refers to the last one, all
+    others refer to the first; a lone document has no reference.
+    """
+    documents = _documents(spark, folder).withColumn("year", F.year("posted"))
+    ends = documents.groupBy("o_custkey", "year").agg(
+        F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")
     )
-    bkpf = documents.join(ends, ["o_custkey", "GJAHR"]).select(
-        "MANDT",
-        "BUKRS",
-        "BELNR",
-        "GJAHR",
+    return documents.join(ends, ["o_custkey", "year"]).select(
+        *_document_key(),
         F.col("posted").alias("BLDAT"),
         F.concat(F.lit("U"), _text(F.col("o_orderkey") % 13)).alias("USNAM"),
         F.when(F.col("o_orderstatus") != "F", fv.REVERSAL_MARK).otherwise("").alias("XREVERSING"),
         F.when(F.col("first") == F.col("last"), "")
-        .when(F.col("BELNR") == F.col("first"), F.col("last"))
-        .otherwise(F.col("first"))
+        .when(F.col("o_orderkey") == F.col("first"), _document_number("last"))
+        .otherwise(_document_number("first"))
         .alias("AWREF_REV"),
     )
-    return Ledger(kna1=kna1, bseg=bseg, bkpf=bkpf)
+
+
+def ledger_views(spark: SparkSession, folder: str) -> Ledger:
+    return Ledger(
+        kna1=_customers(spark, folder), bseg=_items(spark, folder), bkpf=_headers(spark, folder)
+    )
 
 
 def due_date_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Due-date log: lines sharing order and line number are versions of one title."""
-    customer, orders, lineitem = _sales(spark, folder)
-    documents = _documents(customer, orders)
-    return lineitem.join(documents, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _customer_id(F.col("o_custkey")).alias("KUNNR"),
-        "BUKRS",
-        "BELNR",
-        "GJAHR",
+    lines = _table(spark, folder, "lineitem")
+    return lines.join(_documents(spark, folder).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        *_document_key()[1:],
+        _customer_id("o_custkey").alias("KUNNR"),
         _text(F.col("l_linenumber"), 3).alias("BUZEI"),
         F.concat(
-            F.date_format("l_shipdate", "yyyyMMdd"), _text(F.col("l_partkey"), 10), _text(F.col("l_suppkey"), 10)
+            _day_number("l_shipdate"), _text(F.col("l_partkey"), 10), _text(F.col("l_suppkey"), 10)
         ).alias("VERSION"),
         F.col("l_shipdate").cast("date").alias("NETDT"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("DMBTR"),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.oracle_ledger import ledger_oracles
+from catalog.oracle_matrix import matrix_oracles
 from catalog.queries_ledger import LEDGER_QUERIES
+from catalog.queries_matrix import MATRIX_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,8 +35,8 @@ def _shown(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _shown(query) for name, query in LEDGER_QUERIES.items()}
+    return {name: _shown(query) for name, query in {**LEDGER_QUERIES, **MATRIX_QUERIES}.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return ledger_oracles()
+    return {**ledger_oracles(), **matrix_oracles()}
