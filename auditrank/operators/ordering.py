@@ -50,17 +50,36 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, total: str | Non
     return result.drop("_place", "_part", "_start", "_total")
 
 
+#: A group up to this size is ordered inside one task.
+GROUP_ROWS = 1_000_000
+
+
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """``df`` with the ``value`` of the row before it among rows of equal keys.
 
-    Neighbours are found by joining row number n to n - 1, which spreads even
-    one very long group evenly; the first row of a group gets NULL.
+    Groups are counted first.  Those of up to ``group_rows`` rows take a window
+    over the keys; longer ones are numbered across all tasks and each row meets
+    number n - 1 in a join, which spreads one very long group evenly.  The
+    first row of a group gets NULL.
     """
-    rows = numbered(df, [F.col(c) for c in (*keys, *order)], "_n")
+    keys = list(keys)
+    per_group = Window.partitionBy(*keys).orderBy(*order)
+    long_groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > group_rows)
+    if long_groups.isEmpty():
+        return df.withColumn(name, F.lag(value).over(per_group))
+    short = df.join(long_groups, keys, "left_anti").withColumn(name, F.lag(value).over(per_group))
+    rows = numbered(
+        df.join(long_groups, keys, "left_semi"), [F.col(c) for c in (*keys, *order)], "_n"
+    )
     before = rows.select((F.col("_n") + 1).alias("_n"), *keys, F.col(value).alias(name))
-    return rows.join(before, ["_n", *keys], "left").drop("_n")
+    return short.unionByName(rows.join(before, ["_n", *keys], "left").drop("_n"))
 
 
 def ranked(df: DataFrame, score: str, key: str, rank: str, percentile: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Exact interpolated quantiles of many columns at once.
 
 The built-in exact ``percentile`` keeps every distinct value of a column in
-one task.  Here a sketch brackets each quantile, one aggregate counts the rows
-around all brackets, and only the values strictly inside a bracket, a share of
-about ``6 / accuracy`` of the rows, are sorted.  The counts prove that the
-wanted ranks lie in the bracket; where they do not, the bracket is widened, in
-the end to the whole column.
+one task.  Here a sketch brackets each quantile, a second aggregate counts the
+rows around all brackets, and only the values strictly inside a bracket, a
+share of about ``6 / accuracy`` of the rows, are sorted.  The counts prove that
+the wanted ranks lie in the bracket; where they do not, the bracket is widened,
+in the end to the whole column.
+
+Columns are stacked as (column number, value), so each step is one aggregate
+with a group per column, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: {column: {probability: value or None}}
@@ -23,17 +26,19 @@ Quantiles = dict[str, dict[float, float | None]]
 
 @dataclass
 class _Target:
-    column: str
-    probability: float
+    """One quantile of one column: what is wanted and what is known of it."""
+
+    column: int
+    probability: int
     ranks: tuple[int, int]  # 0-based ranks to interpolate between
     weight: float  # share of the upper one
-    low: float = 0.0
-    high: float = 0.0
+    low: float
+    high: float
     at_low: int = 0  # rows up to and including ``low``
     values: tuple[float, float] | None = None
 
-    def between(self, below: int, to_low: int, under_high: int, to_high: int) -> bool:
-        """Whether the counts place both ranks inside the bracket."""
+    def settle(self, below: int, to_low: int, under_high: int, to_high: int) -> bool:
+        """Use the counts around the bracket; False if it misses a rank."""
         self.at_low = to_low
         found = []
         for rank in self.ranks:
@@ -56,83 +61,93 @@ def exact_quantiles(
 ) -> Quantiles:
     """Quantiles of double columns, NULLs ignored, linear between ranks.
 
-    Runs jobs; only one value per column and probability reaches the driver.
+    Runs jobs; a few numbers per column and probability reach the driver.
     """
     result: Quantiles = {c: {p: None for p in probabilities} for c in columns}
     if not columns:
         return result
-    counts = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(columns))).first()
-    pending = []
-    for n, column in zip(counts, columns):
-        for p in probabilities if n else ():
-            place = p * (n - 1)
-            lower = min(math.floor(place), n - 1)
-            pending.append(_Target(column, p, (lower, min(lower + 1, n - 1)), place - lower))
-    width = 3.0 / accuracy
-    while pending:
-        missed = _resolve(df, pending, width, accuracy)
-        for target in pending:
-            if target not in missed:
-                result[target.column][target.probability] = target.result
-        pending, width = missed, width * 10
+    stacked = df.select(F.posexplode(F.array(*columns)).alias("c", "v")).where(F.col("v").isNotNull())
+    width, open_columns = 3.0 / accuracy, range(len(columns))
+    while open_columns:
+        targets = _bracketed(stacked.where(F.col("c").isin(list(open_columns))), probabilities, width, accuracy)
+        missed = _counted(stacked, targets, len(columns), len(probabilities))
+        settled = [t for t in targets if t.column not in missed]
+        inside = [t for t in settled if t.values is None]
+        if inside:
+            _sorted_inside(stacked, inside)
+        for t in settled:
+            result[columns[t.column]][probabilities[t.probability]] = t.result
+        open_columns, width = missed, width * 10
     return result
 
 
-def _resolve(df: DataFrame, targets: list[_Target], width: float, accuracy: int) -> list[_Target]:
-    """Settle the targets whose bracket holds; return the others."""
-    edges = []
-    for i, t in enumerate(targets):
-        around = F.array(F.lit(max(0.0, t.probability - width)), F.lit(min(1.0, t.probability + width)))
-        edges.append(F.percentile_approx(t.column, around, accuracy).alias(f"e{i}"))
-    for t, edge in zip(targets, df.agg(*edges).first()):
-        t.low, t.high = edge
-
-    checks = []
-    for i, t in enumerate(targets):
-        c = F.col(t.column)
-        for j, condition in enumerate((c < t.low, c <= t.low, c < t.high, c <= t.high)):
-            checks.append(F.count_if(condition).alias(f"k{i}_{j}"))
-    seen = df.agg(*checks).first()
-    missed = [t for i, t in enumerate(targets) if not t.between(*seen[4 * i : 4 * i + 4])]
-    inside = [t for t in targets if t not in missed and t.values is None]
-    if inside:
-        _sort_inside(df, inside)
+def _bracketed(
+    stacked: DataFrame, probabilities: Sequence[float], width: float, accuracy: int
+) -> list[_Target]:
+    """Targets with brackets from a sketch whose rank error is below ``width``."""
+    edges = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-width, width)]
+    rows = (
+        stacked.groupBy("c")
+        .agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("e"))
+        .collect()
+    )
+    targets = []
+    for row in rows:
+        for i, p in enumerate(probabilities):
+            place = p * (row.n - 1)
+            lower = min(math.floor(place), row.n - 1)
+            ranks = (lower, min(lower + 1, row.n - 1))
+            targets.append(_Target(row.c, i, ranks, place - lower, row.e[2 * i], row.e[2 * i + 1]))
+    return targets
+
+
+def _lookup(values: dict[int, float], size: int) -> Column:
+    """Literal array read at the column number; NULL where nothing is known."""
+    return F.get(F.array(*(F.lit(values.get(i)).cast("double") for i in range(size))), F.col("c"))
+
+
+def _counted(stacked: DataFrame, targets: list[_Target], columns: int, probabilities: int) -> set[int]:
+    """Settle targets by counts; return the columns with a missed bracket."""
+    v = F.col("v")
+    counts = []
+    for i in range(probabilities):
+        low = _lookup({t.column: t.low for t in targets if t.probability == i}, columns)
+        high = _lookup({t.column: t.high for t in targets if t.probability == i}, columns)
+        for j, condition in enumerate((v < low, v <= low, v < high, v <= high)):
+            counts.append(F.count_if(condition).alias(f"k{4 * i + j}"))
+    known = sorted({t.column for t in targets})
+    seen = {
+        row.c: row for row in stacked.where(F.col("c").isin(known)).groupBy("c").agg(*counts).collect()
+    }
+    missed = set()
+    for t in targets:
+        if not t.settle(*(seen[t.column][f"k{4 * t.probability + j}"] for j in range(4))):
+            missed.add(t.column)
     return missed
 
 
-def _sort_inside(df: DataFrame, targets: list[_Target]) -> None:
+def _sorted_inside(stacked: DataFrame, targets: list[_Target]) -> None:
     """Read the wanted ranks among the values strictly inside the brackets."""
-    entries = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("t"),
-                F.when((F.col(t.column) > t.low) & (F.col(t.column) < t.high), F.col(t.column)).alias("v"),
-            )
-            for i, t in enumerate(targets)
-        )
-    )
+    v = F.col("v")
+    columns = max(t.column for t in targets) + 1
+    entries = []
+    for p in sorted({t.probability for t in targets}):
+        mine = {t.column: (i, t) for i, t in enumerate(targets) if t.probability == p}
+        low = _lookup({c: t.low for c, (_, t) in mine.items()}, columns)
+        high = _lookup({c: t.high for c, (_, t) in mine.items()}, columns)
+        number = _lookup({c: i for c, (i, _) in mine.items()}, columns).cast("int")
+        entries.append(F.when((v > low) & (v < high), number))
     values = (
-        df.select(F.explode(entries).alias("s"))
-        .select("s.t", "s.v")
-        .where(F.col("v").isNotNull())
+        stacked.select("v", F.explode(F.array_compact(F.array(*entries))).alias("t"))
         .groupBy("t", "v")
         .agg(F.count("*").alias("n"))
     )
-    t = F.col("t")
-    running = F.sum("n").over(Window.partitionBy("t").orderBy("v"))
-    start = F.array(*(F.lit(x.at_low) for x in targets))[t]
-    first = F.array(*(F.lit(x.ranks[0]) for x in targets))[t]
-    second = F.array(*(F.lit(x.ranks[1]) for x in targets))[t]
-    end = start + running
-    hits = (
-        values.select(t, "v", end.alias("end"), (end - F.col("n")).alias("begin"), first.alias("a"), second.alias("b"))
-        .where(F.col("a").between(F.col("begin"), F.col("end") - 1) | F.col("b").between(F.col("begin"), F.col("end") - 1))
-        .collect()  # at most two rows per target
-    )
-    found = {(h.t, r): h.v for h in hits for r in (h.a, h.b) if h.begin <= r < h.end}
-    for i, target in enumerate(targets):
-        a, b = target.ranks
-        target.values = (
-            found.get((i, a), target.low),
-            found.get((i, b), target.high),
-        )
+    facts = F.array(*(F.array(*map(F.lit, (t.at_low, *t.ranks))) for t in targets))[F.col("t")]
+    end = facts[0] + F.sum("n").over(Window.partitionBy("t").orderBy("v"))
+    placed = values.select("t", "v", "n", end.alias("end"), facts[1].alias("a"), facts[2].alias("b"))
+    begin, last = F.col("end") - F.col("n"), F.col("end") - 1
+    hits = placed.where(F.col("a").between(begin, last) | F.col("b").between(begin, last)).collect()
+    found = {(h.t, r): h.v for h in hits for r in (h.a, h.b) if h.end - h.n <= r < h.end}
+    for i, t in enumerate(targets):
+        a, b = t.ranks
+        t.values = (found.get((i, a), t.low), found.get((i, b), t.high))
