@@ -85,7 +85,10 @@ def _bracketed(
     stacked: DataFrame, probabilities: Sequence[float], width: float, accuracy: int
 ) -> list[_Target]:
     """Targets with brackets from a sketch whose rank error is below ``width``."""
-    edges = [min(1.0, max(0.0, p + side)) for p in probabilities for side in (-width, width)]
+    # The sketch is read at several widths at once; a column with few rows
+    # takes a wider one, so that its bracket spans some ranks.
+    widths = [width * 10**i for i in range(5)]
+    edges = [min(1.0, max(0.0, p + side)) for p in probabilities for w in widths for side in (-w, w)]
     rows = (
         stacked.groupBy("c")
         .agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("e"))
@@ -93,11 +96,12 @@ def _bracketed(
     )
     targets = []
     for row in rows:
+        chosen = next((i for i, w in enumerate(widths) if w * row.n >= 3), len(widths) - 1)
         for i, p in enumerate(probabilities):
             place = p * (row.n - 1)
-            lower = min(math.floor(place), row.n - 1)
-            ranks = (lower, min(lower + 1, row.n - 1))
-            targets.append(_Target(row.c, i, ranks, place - lower, row.e[2 * i], row.e[2 * i + 1]))
+            lower, upper = math.floor(place), math.ceil(place)
+            at = 2 * (i * len(widths) + chosen)
+            targets.append(_Target(row.c, i, (lower, upper), place - lower, row.e[at], row.e[at + 1]))
     return targets
 
 

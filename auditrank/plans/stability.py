@@ -35,8 +35,11 @@ def compared(base: str, other: str, tops: Sequence[int] = fv.STABILITY_TOPS) ->
     Ranks have no ties, so Spearman's coefficient is their plain correlation.
     """
     a, b = F.col(base).cast("double"), F.col(other).cast("double")
-    spread = F.stddev_samp(a) * F.stddev_samp(b)
-    aggregates = [F.try_divide(F.covar_samp(a, b), spread).alias("correlacao_spearman_ranking")]
+    if other == base:
+        spearman = F.when(F.count(a) > 1, F.lit(1.0))
+    else:
+        spearman = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    aggregates = [spearman.alias("correlacao_spearman_ranking")]
     for k in tops:
         shared = F.count_if((a <= k) & (b <= k))
         size = F.greatest(F.lit(1), F.count_if(a <= k))
