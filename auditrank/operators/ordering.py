@@ -24,9 +24,9 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, total: str | Non
 
     ``total`` optionally names a column for the number of rows.
     """
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Without a fixed number, AQE may join neighbouring ranges that are small.
     laid_out = stage(
-        df.repartitionByRange(ranges, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id()),
         "ordered",

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: Settings for a cluster run.  AQE coalesces small shuffle partitions, splits
 #: skewed join partitions and turns a join into a broadcast only after it has
 #: measured the side.  The runtime Bloom filter drops ledger rows without a
-#: matching reversal header before they are shuffled.
+#: matching reversal header before they are shuffled.  Sets collected per
+#: document or pair hold a few texts, so many of them fit into a hash aggregate
+#: before it has to sort.
 CLUSTER_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
