@@ -216,14 +216,16 @@ def with_scores(df: DataFrame, runs: Sequence[tuple[Forest, Mapping[int, str]]])
     names = [name for _, marks in runs for name in marks.values()]
     schema = T.StructType([*kept, *(T.StructField(n, T.DoubleType()) for n in names)])
     keep = [f.name for f in kept]
-    shared = df.sparkSession.sparkContext.broadcast([(forest, dict(marks)) for forest, marks in runs])
+    # Only arrays and plain values travel in the broadcast; the class comes with
+    # the function.
+    shared = df.sparkSession.sparkContext.broadcast([(vars(forest), dict(marks)) for forest, marks in runs])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.ascontiguousarray(batch[features].to_numpy(dtype=float))
             out = batch[keep].copy()
-            for forest, marks in shared.value:
-                scores = forest.score_samples(x, list(marks))
+            for fields, marks in shared.value:
+                scores = Forest(**fields).score_samples(x, list(marks))
                 for i, name in enumerate(marks.values()):
                     out[name] = scores[:, i]
             yield out
