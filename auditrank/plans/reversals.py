@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditrank import fixed_values as fv
@@ -207,33 +207,23 @@ def unique_reversals(pairs: DataFrame) -> DataFrame:
 def customer_summary(unique: DataFrame) -> DataFrame:
     """Pairs folded to customers.
 
-    A pair appears once per customer name, so distinct keys are counted by
-    marking the first row of each (customer, key); the window spans a handful
-    of rows.  That leaves a single distinct count, which Spark spreads over
-    (customer, user list) before it totals per customer.
+    A pair appears once per customer name, so its value counts per name and
+    its key once.  Both distinct counts are spread over (customer, value) by
+    Spark before they are totalled, also for a customer with very many pairs.
     """
-    per_key = Window.partitionBy("id_cliente", "chave_par_estorno").orderBy("nome_cliente")
-    first_of_key = (F.row_number().over(per_key) == 1) & F.col("chave_par_estorno").isNotNull()
     value = F.col("valor_estorno_sem_duplicidade")
-    return (
-        unique.withColumn("nova_chave", first_of_key)
-        .groupBy("id_cliente")
-        .agg(
-            F.max("nome_cliente").alias("nome_cliente"),
-            sorted_list(F.col("empresa")).alias("empresas_com_estorno"),
-            F.count_if("nova_chave").alias("qtd_estornos_cliente"),
-            F.sum(value).alias("valor_total_estornos_cliente"),
-            F.max(value).alias("maior_valor_estorno_cliente"),
-            F.min("data_primeiro_registro").alias("data_primeiro_estorno_cliente"),
-            F.max("data_ultimo_registro").alias("data_ultimo_estorno_cliente"),
-            F.count_distinct("usuarios_envolvidos").alias("qtd_usuarios_estorno"),
-            F.count_if(F.col("status_relacao_estorno") == fv.TWO_LEGS).alias(
-                "qtd_estornos_duas_pernas_localizadas"
-            ),
-            F.count_if(F.col("status_relacao_estorno") == fv.ONE_LEG).alias(
-                "qtd_estornos_uma_perna_localizada"
-            ),
-        )
+    status = F.col("status_relacao_estorno")
+    return unique.groupBy("id_cliente").agg(
+        F.max("nome_cliente").alias("nome_cliente"),
+        sorted_list(F.col("empresa")).alias("empresas_com_estorno"),
+        F.count_distinct("chave_par_estorno").alias("qtd_estornos_cliente"),
+        F.sum(value).alias("valor_total_estornos_cliente"),
+        F.max(value).alias("maior_valor_estorno_cliente"),
+        F.min("data_primeiro_registro").alias("data_primeiro_estorno_cliente"),
+        F.max("data_ultimo_registro").alias("data_ultimo_estorno_cliente"),
+        F.count_distinct("usuarios_envolvidos").alias("qtd_usuarios_estorno"),
+        F.count_if(status == fv.TWO_LEGS).alias("qtd_estornos_duas_pernas_localizadas"),
+        F.count_if(status == fv.ONE_LEG).alias("qtd_estornos_uma_perna_localizada"),
     )
 
 
@@ -318,14 +308,8 @@ def scored(flags: DataFrame) -> DataFrame:
 
 
 def summarised(ledger: Ledger, p: ReversalParams) -> DataFrame:
-    """Ledger to customer summary.
-
-    Laying the documents out by customer and pair key once serves both the
-    pair aggregate and the window of the summary.  A pair has two legs at
-    most, so nothing is lost by not combining before that shuffle.
-    """
-    pairs = normalised_pairs(reversal_document_values(ledger, p))
-    return customer_summary(unique_reversals(pairs.repartition("id_cliente", "chave_par_estorno")))
+    """Ledger to customer summary."""
+    return customer_summary(unique_reversals(normalised_pairs(reversal_document_values(ledger, p))))
 
 
 def high_reversal_volume(ledger: Ledger, p: ReversalParams = ReversalParams()) -> DataFrame:
