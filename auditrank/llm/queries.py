@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditrank.llm import bpe, decontaminate, line_dedup
+from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup
 from auditrank.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
