@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
+from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity, warc
 from auditrank.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -47,6 +51,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
