@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +29,27 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (batch for batch in batches if batch.num_rows)
+
+
+def packed(df: DataFrame, column: str = "text") -> DataFrame:
+    """``df`` with a text column compressed, for a shuffle that only carries it.
+
+    Texts take about half of what Spark's own shuffle compression leaves.
+    """
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in rows(batches):
+            found = [pack(t.as_py().encode("utf-8", "surrogatepass")) if t.is_valid else None for t in batch.column(at)]
+            arrays = list(batch.columns)
+            arrays[at] = pa.array(found, pa.binary())
+            yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
+
+    fields = list(df.schema.fields)
+    fields[at] = T.StructField(column, T.BinaryType())
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def unpack(value: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value)

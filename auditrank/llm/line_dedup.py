@@ -11,7 +11,7 @@ it has a Jaccard similarity of at least 4/5 with it.
 3. Each remaining line puts its rarest words (the prefix that two lines as
    similar as asked must share a word of) into a shuffle by word.  Rows of a word
    stream by in order of size; pairs must pass the length, the positional and a
-   bitmap filter.  A pass looks at ``REACH`` neighbours and keeps each line's
+   bitmap filter, and long lines must share several words of longer prefixes.  A pass looks at ``REACH`` neighbours and keeps each line's
    ``BEST`` partners, so a hot group makes no square of pairs; lines for which
    that was not all and that no pair removed are compared with everything left.
 4. Pairs are verified on the words of both lines.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditrank.llm.frames import rows, unused
+from auditrank.llm.frames import packed, rows, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, texts
 from auditrank.session import stage
 
@@ -44,7 +44,11 @@ _PARTS = 16
 #: Following rows of the same word that one pass compares a row with.
 REACH = 1024
 #: Partners per line and word that the first pass hands on.
-BEST = 8
+BEST = 4
+
+#: Lines of more words have a second bitmap and must share more than one word of
+#: their prefixes.
+LONG = 48
 
 _KEY = ("doc_id", "_text_key", "line_no")
 _SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -95,6 +99,11 @@ def _least_overlap(size):
     return -(-NUMERATOR * size // DENOMINATOR)
 
 
+def _shared_words(size):
+    """Words that two such lines share at least within prefixes so much longer."""
+    return 1 + size // LONG
+
+
 _SETS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -104,6 +113,7 @@ _SETS = T.StructType(
         T.StructField("set_b", T.LongType()),
         T.StructField("size", T.IntegerType()),
         T.StructField("bits", T.LongType()),
+        T.StructField("more_bits", T.LongType()),
         T.StructField("prefix", T.ArrayType(T.IntegerType())),
     ]
 )
@@ -146,10 +156,13 @@ def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | Non
     size = np.add.reduceat(new.astype(np.int64), start)
     key = key[new]
     begin = np.cumsum(size) - size
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(key) & np.uint64(63)), begin)
+    place = mix(key)
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (place & np.uint64(63)), begin)
+    second = np.bitwise_xor.reduceat(np.uint64(1) << ((place >> np.uint64(6)) & np.uint64(63)), begin)
+    second[size <= LONG] = 0
     set_a = np.add.reduceat(mix(key ^ np.uint64(0x5851F42D4C957F2D)), begin)
     set_b = np.add.reduceat(mix(key ^ np.uint64(0x14057B7EF767814F)), begin)
-    length = size - _least_overlap(size) + 1
+    length = size - _least_overlap(size) + _shared_words(size)
     head = np.arange(len(key)) - np.repeat(begin, size) < np.repeat(length, size)
     prefix = pa.ListArray.from_arrays(
         pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(key[head].astype(np.uint32).view(np.int32))
@@ -161,20 +174,21 @@ def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | Non
         pa.array(set_b.view(np.int64)),
         pa.array(size, pa.int32()),
         pa.array(bits.view(np.int64)),
+        pa.array(second.view(np.int64)),
         prefix,
     ]
 
 
 def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines that pass all filters, from rows sorted by (word, size).
+    """Pairs of lines that pass all filters for one word, from rows sorted by
+    (word, size), and how many words they must share in all.
 
     A row with no ``b`` says that not all partners of ``a`` were handed on.
     """
-    kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.uint64)]
+    kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.uint64, np.uint64)]
     for batch in rows(batches):
-        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        new[3] = new[3].view(np.uint64)
-        word, meta, line, bits = (np.concatenate(x) for x in zip(kept, new))
+        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        word, meta, line, bits, second = (np.concatenate((x, y.view(x.dtype))) for x, y in zip(kept, new))
         old, n = len(kept[0]), len(word)
         size, place = meta >> 32, meta & 0xFFFFFFFF
         lefts, rights, gaps, unsure = [], [], [], []
@@ -195,6 +209,8 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
             after = np.minimum(size[a] - place[a], size[b] - place[b])
             gap = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+            long = size[a] > LONG
+            gap[long] = np.maximum(gap[long], np.bitwise_count(second[a[long]] ^ second[b[long]]))
             good = (np.minimum(place[a], place[b]) + after >= least) & (gap <= both - 2 * least)
             lefts.append(a[good])
             rights.append(b[good])
@@ -203,12 +219,16 @@ def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, gap = map(np.concatenate, (lefts, rights, gaps))
             best = _best(a, gap) | _best(b, gap)
             unsure += [line[a[~best]], line[b[~best]]]
+            need = _shared_words(np.minimum(size[a], size[b]))[best]
             a, b = line[a[best]], line[b[best]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            yield pa.record_batch(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"]
+            )
         if unsure and len(lone := np.unique(np.concatenate(unsure))):
-            yield pa.record_batch([pa.array(lone), pa.nulls(len(lone), pa.int64())], names=["a", "b"])
+            none = pa.nulls(len(lone), pa.int64())
+            yield pa.record_batch([pa.array(lone), none, pa.array(np.ones(len(lone), np.int64))], names=["a", "b", "need"])
         tail = max(_last_group(word), n - REACH - 1)
-        kept = [x[tail:] for x in (word, meta, line, bits)]
+        kept = [x[tail:] for x in (word, meta, line, bits, second)]
 
 
 def _last_group(word: np.ndarray) -> int:
@@ -227,18 +247,25 @@ def _best(of: np.ndarray, gap: np.ndarray) -> np.ndarray:
 
 
 def _prefix_rows(lines: DataFrame) -> DataFrame:
-    return lines.select(F.posexplode("prefix").alias("place", "word"), "size", "line", "bits").select(
+    return lines.select(F.posexplode("prefix").alias("place", "word"), "size", "line", "bits", "more_bits").select(
         "word",
         (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("meta"),
         "line",
         "bits",
+        "more_bits",
     )
 
 
+def _enough_words(pairs: DataFrame) -> DataFrame:
+    """Pairs that share as many words of their prefixes as they must."""
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+
+
 def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
     """Every pair that passes the filters and has a line of ``unsure``."""
     one = _prefix_rows(lines.join(unsure, "line", "left_semi")).select(
-        "word", F.col("meta").alias("m1"), F.col("line").alias("l1"), F.col("bits").alias("b1")
+        "word", F.col("meta").alias("m1"), F.col("line").alias("l1"), F.col("bits").alias("b1"),
+        F.col("more_bits").alias("c1"),
     )
     size1, size2 = F.shiftright("m1", 32), F.shiftright("meta", 32)
     place1, place2 = F.col("m1") % (1 << 32), F.col("meta") % (1 << 32)
@@ -249,21 +276,29 @@ def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
         & (NUMERATOR * F.greatest(size1, size2) <= DENOMINATOR * F.least(size1, size2))
         & (F.least(place1, place2) + F.least(size1 - place1, size2 - place2) >= least)
         & (F.bit_count(F.col("b1").bitwiseXOR(F.col("bits"))) <= both - 2 * least)
+        & (
+            (F.least(size1, size2) <= LONG)
+            | (F.bit_count(F.col("c1").bitwiseXOR(F.col("more_bits"))) <= both - 2 * least)
+        )
     )
+    need = 1 + F.floor(F.least(size1, size2) / F.lit(LONG))
     rest = _prefix_rows(lines)
-    return one.join(rest, (one["word"] == rest["word"]) & fits).select(
-        F.least("l1", "line").alias("a"), F.greatest("l1", "line").alias("b")
+    found = one.join(rest, (one["word"] == rest["word"]) & fits).select(
+        "l1", F.col("line").alias("l2"), need.alias("need")
     )
+    # A pair with both lines unsure comes from either side; each side counts for itself.
+    counted = _enough_words(found.select(F.col("l1").alias("a"), F.col("l2").alias("b"), "need"))
+    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, place in corpus order, distinct words) of the wanted lines."""
+    """(line, distinct words) of the wanted lines."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             out = []
             for text, picks in zip(batch.column(0), batch.column(1)):
-                parts = text.as_py().encode("utf-8", "surrogatepass").lower().split(b"\n")
+                parts = unpack(text.as_py()).lower().split(b"\n")
                 out += [(p["line"], sorted(set(parts[p["line_no"]].split()))) for p in picks.as_py()]
             yield pa.record_batch(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.binary()))],
@@ -271,6 +306,7 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     picks = wanted.groupBy("doc_id", "_text_key").agg(F.collect_list(F.struct("line_no", "line")).alias("picks"))
+    docs = packed(docs)
     same = docs["doc_id"].eqNullSafe(picks["doc_id"]) & (docs["_text_key"] == picks["_text_key"])
     # Rows equal in doc_id and text would give the same line twice.
     once = docs.join(picks, same).select("text", "picks")
@@ -300,22 +336,23 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.where(F.col("text").isNotNull()))
     sets = line_sets(keyed, word_order(keyed))
     firsts = (
-        sets.groupBy("set_a", "set_b", "size", "bits", "prefix")
+        sets.groupBy("set_a", "set_b", "size", "bits", "more_bits", "prefix")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), *_KEY)).alias("at"))
-        .select("at.doc_id", "at._text_key", "at.line_no", "size", "bits", "prefix")
-        .withColumn("line", F.xxhash64(*_KEY))
+        .select("at.doc_id", "at._text_key", "at.line_no", "size", "bits", "more_bits", "prefix")
+        # Written with the lines, so the numbers stay; small ones compress well.
+        .withColumn("line", F.monotonically_increasing_id())
     )
     lines = stage(firsts, "lines")
     found = stage(
         _prefix_rows(lines).repartition("word").sortWithinPartitions("word", "meta", "line")
-        .mapInArrow(_candidates, "a long, b long").distinct(),
+        .mapInArrow(_candidates, "a long, b long, need long").transform(_enough_words),
         "line-pairs",
     )
     pairs = found.where(F.col("b").isNotNull())
     gone = stage(_later(keyed, lines, pairs), "later-lines")
     unsure = found.where(F.col("b").isNull()).select(F.col("a").alias("line")).join(gone, "line", "left_anti")
     if not unsure.isEmpty():
-        rest = stage(_rest(unsure, lines).distinct().join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+        rest = stage(_rest(unsure, lines).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
         gone = gone.unionByName(_later(keyed, lines, rest))
     left = lines.select("line", *_KEY).join(gone, "line", "left_anti")
     return left.groupBy("doc_id", "_text_key").agg(F.collect_list("line_no").alias("keep"))
@@ -328,14 +365,16 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
     kept = kept_lines(docs)
     id_name, key_name, keep = unused(docs, "_id", "_key", "_keep")
     kept = kept.select(F.col("doc_id").alias(id_name), F.col("_text_key").alias(key_name), F.col("keep").alias(keep))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(key_name))
+    (own,) = unused(docs, "_own_key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_name)) & (F.col(own) == F.col(key_name))
     text_at, width = docs.columns.index("text"), len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             cut, gone = [], []
             for text, keep in zip(batch.column(text_at), batch.column(width)):
-                parts = text.as_py().split("\n") if text.is_valid else []
+                whole = unpack(text.as_py()).decode("utf-8", "surrogatepass") if text.is_valid else None
+                parts = whole.split("\n") if text.is_valid else []
                 stays = set(keep.as_py() or ())
                 lost = [
                     i for i, part in enumerate(parts) if i not in stays and part.encode("utf-8", "surrogatepass").strip(_SPACES)
@@ -344,7 +383,7 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
                 if not text.is_valid:
                     cut.append(None)
                 elif not lost:
-                    cut.append(text.as_py())
+                    cut.append(whole)
                 else:
                     lost = set(lost)
                     cut.append("\n".join(part for i, part in enumerate(parts) if i not in lost))
@@ -354,7 +393,8 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
 
     shape = T.StructType([*docs.schema.fields, T.StructField(removed, T.ArrayType(T.IntegerType()))])
-    return docs.join(kept, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], keep).mapInArrow(run, shape)
+    sent = packed(docs.withColumn(own, F.xxhash64("text")))
+    return sent.join(kept, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], keep).mapInArrow(run, shape)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -33,12 +33,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditrank.llm.components import components
-from auditrank.llm.frames import rows, unused
+from auditrank.llm.frames import packed, rows, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, per_row, texts
 from auditrank.session import stage
 
@@ -223,10 +222,8 @@ def _verified(words: int):
     """Keeps the pairs whose full sets are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inflate = zstandard.ZstdDecompressor().decompress
-
-        def sketch(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-            raw = np.frombuffer(inflate(packed), np.uint8)
+        def sketch(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            raw = np.frombuffer(unpack(text), np.uint8)
             hashes, bounds = shingle_sets(raw, np.array([0, len(raw)]), words)
             return hashes, registers(hashes, bounds)[0]
 
@@ -251,13 +248,6 @@ def _verified(words: int):
     return run
 
 
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1).compress
-    for batch in rows(batches):
-        found = [pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "packed"])
-
-
 def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(sets, labels): every row's set with its node, and (node, component) of the
     linked nodes.  A node stands for all rows of one set."""
@@ -272,8 +262,8 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
         "bands",
     )
     members = shared.select("node").distinct()
-    packed = stage(
-        docs.mapInArrow(_packed, "node long, packed binary").join(members, "node", "left_semi"), "texts"
+    carried = stage(
+        packed(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")).join(members, "node", "left_semi"), "texts"
     )
     of_node = known.select("doc_id", "set_a", "set_b").join(nodes, ["set_a", "set_b"])
     first = of_node.groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("last")).where("one != last")
@@ -289,8 +279,8 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
             open_rows.repartition("key").sortWithinPartitions("key", "place")
             .mapInArrow(_offer(low, high), "one long, two long").distinct()
         )
-        one = packed.select(F.col("node").alias("one"), F.col("packed").alias("p1"))
-        two = packed.select(F.col("node").alias("two"), F.col("packed").alias("p2"))
+        one = carried.select(F.col("node").alias("one"), F.col("text").alias("p1"))
+        two = carried.select(F.col("node").alias("two"), F.col("text").alias("p2"))
         checked = pairs.join(two, "two").join(one, "one").select("one", "two", "p1", "p2").sortWithinPartitions("one")
         more = stage(checked.mapInArrow(_verified(words), "one long, two long"), "links")
         found = found.unionByName(more)
