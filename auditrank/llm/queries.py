@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity, warc
+from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity, vptree, warc
 from auditrank.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.report(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
+    "op5_vptree": op5_vptree,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
