@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditrank.llm import bpe, chat, decontaminate, line_dedup, near_dedup, toxicity, vptree, warc
+from auditrank.llm import bpe, chat, decontaminate, line_dedup, near_dedup, pii, toxicity, vptree, warc
 from auditrank.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op5_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.report(table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_control_case(table(spark, sf_dir, "conversations")))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_vptree": op5_vptree,
+    "op6_pii": op6_pii,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
