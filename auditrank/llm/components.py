@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     is written to the shared folder; folds are partial before their shuffle.
     """
     both = links.select(F.explode(F.array(F.struct("one", "two"), F.struct(F.col("two").alias("one"), F.col("one").alias("two")))).alias("e"))
-    edges = stage(both.select(F.col("e.one").alias("node"), F.col("e.two").alias("other")).distinct(), "edges")
+    edges = stage(both.select(F.col("e.one").alias("node"), F.col("e.two").alias("other")), "edges")
     label = stage(
         edges.groupBy("node").agg(F.min("other").alias("near")).select("node", F.least("node", "near").alias("component")),
         "labels",
@@ -25,15 +25,16 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(label.select(F.col("node").alias("other"), "component"), "other")
         best = (
-            near.select("node", "component").unionByName(label)
-            .groupBy("node").agg(F.min("component").alias("component"))
+            near.select("node", "component", F.lit(None).cast("long").alias("before"))
+            .unionByName(label.select("node", "component", F.col("component").alias("before")))
+            .groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before"))
         )
         ends = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = best.join(ends, "component", "left").select(
-            "node", F.least("component", F.coalesce("further", "component")).alias("component")
+        label = stage(
+            best.join(ends, "component", "left").select(
+                "node", F.least("component", F.coalesce("further", "component")).alias("component"), "before"
+            ),
+            "labels",
         )
-        after = stage(jumped, "labels")
-        moved = after.join(label.withColumnRenamed("component", "before"), "node").where("component != before")
-        label = after
-        if moved.isEmpty():
-            return label
+        if label.where("component != before").isEmpty():
+            return label.select("node", "component")

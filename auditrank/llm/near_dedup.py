@@ -8,10 +8,13 @@ a-z).  Two documents are linked if 100 * shared >= 80 * united.
 2. A set's hashes fall into ``REGISTERS`` buckets.  A register keeps the least
    value of its bucket as leading-zero count (6 bits) and mantissa (10 bits); an
    empty one borrows from the first filled bucket of its own fixed order.
-3. ``BANDS`` bands of ``ROWS`` registers are shuffled.  Each bucket offers pairs
-   with its first node only (then its next 8, 64, ...), and only across
-   components, so the pairs of a large group grow with its size, while every
-   pair of a bucket is offered in the end unless its ends are already connected.
+3. ``BANDS`` bands of ``ROWS`` registers are shuffled.  A bucket first offers
+   each node with its first one, which connects most of a large group at a cost
+   that grows with its size.  Buckets that still hold several components then
+   compare registers across them; each node offers its best partners, then more
+   (``LIMITS``, the last without limit) while it stays unconnected.  In the end
+   every pair of a bucket was tested, or ruled out by its estimate, or its ends
+   are connected anyway.
 4. A pair whose Jaccard estimate, corrected for register collisions, lies five
    standard errors below the threshold is dropped; the others are decided on the
    full sets.
@@ -48,6 +51,8 @@ REGISTER_BITS = 8
 REGISTERS = 1 << REGISTER_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 42, 6
+#: Partners that a node offers per bucket and round across components.
+LIMITS = (4, 64, None)
 #: Chance that two unequal minima give the same register (Yu and Weber 2017).
 _COLLISION = 0.169919487159739093975315012348 / 2**MANTISSA_BITS
 
@@ -187,33 +192,88 @@ def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*held)
 
 
-def _offer(low: int, high: int):
-    """Pairs of the nodes at places [low, high) of a bucket with later ones of
-    another component; rows come sorted by (key, place)."""
+def _to_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each later node of a bucket with the bucket's first one; rows come sorted."""
+    last_key, first = None, 0
+    for batch in rows(batches):
+        key, node, place = (batch.column(k).to_numpy() for k in range(3))
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        heads = node[start].copy()
+        if key[0] == last_key:
+            heads[0] = first
+        one = np.repeat(heads, np.diff(np.append(start, len(key))))
+        last_key, first = key[-1], heads[-1]
+        later = one != node
+        yield pa.RecordBatch.from_arrays([pa.array(one[later]), pa.array(node[later])], names=["one", "two"])
+
+
+def _offer(limit: int | None):
+    """Pairs across the components of a bucket whose estimate leaves them open,
+    each node's ``limit`` best ones; a row without ``two`` says that there are more.
+
+    Rows (key, node, component, n, registers) come sorted by key; a bucket that
+    still holds several components is in memory at once.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pivots = None, []
+        held: pa.RecordBatch | None = None
         for batch in rows(batches):
-            key, node, place, group = (batch.column(k).to_numpy() for k in range(4))
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            ones, twos = [], []
-            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
-                if key[a] != current:
-                    current, pivots = key[a], []
-                for p_place, p_node, p_group in pivots:
-                    later = group[a:b] != p_group
-                    twos.append(node[a:b][later])
-                    ones.append(np.full(len(twos[-1]), p_node))
-                inside = np.flatnonzero((place[a:b] >= low) & (place[a:b] < high)) + a
-                for i in inside.tolist():
-                    later = group[i + 1 : b] != group[i]
-                    twos.append(node[i + 1 : b][later])
-                    ones.append(np.full(len(twos[-1]), node[i]))
-                    pivots.append((place[i], node[i], group[i]))
-            if ones:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(ones)), pa.array(np.concatenate(twos))], names=["one", "two"]
-                )
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from work(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield from work(pa.Table.from_batches([held]))
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, node, group, size = (table.column(k).to_numpy() for k in range(4))
+        regs = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        ones, twos, more = [], [], []
+        for a, b in zip(start, [*start[1:], len(key)]):
+            names, counts = np.unique(group[a:b], return_counts=True)
+            # Every open pair has an end outside the largest component.
+            outside = np.flatnonzero(group[a:b] != names[counts.argmax()]) + a
+            for part in range(0, len(outside), 64):
+                i = outside[part : part + 64]
+                same = (regs[i][:, None, :] == regs[None, a:b, :]).sum(2) / REGISTERS
+                largest = np.maximum(size[i][:, None], size[None, a:b])
+                margin = 5 * np.sqrt(0.16 * (1 / largest + 1 / REGISTERS))
+                fits = (same >= THRESHOLD_PERCENT / 100 - margin) & (group[i][:, None] != group[None, a:b])
+                if limit is not None:
+                    best = np.argsort(np.where(fits, -same, 1.0), axis=1, kind="stable")
+                    over = fits.sum(1) > limit
+                    more.append(node[i[over]])
+                    kept = np.zeros_like(fits)
+                    np.put_along_axis(kept, best[:, :limit], True, axis=1)
+                    fits &= kept
+                x, y = np.nonzero(fits)
+                ones.append(np.minimum(node[i[x]], node[a + y]))
+                twos.append(np.maximum(node[i[x]], node[a + y]))
+        if ones:
+            pairs = np.unique(np.column_stack((np.concatenate(ones), np.concatenate(twos))), axis=0)
+            rest = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
+            one = pa.array(np.append(pairs[:, 0], rest))
+            two = pa.array(np.append(pairs[:, 1], rest), mask=np.arange(len(pairs) + len(rest)) >= len(pairs))
+            yield pa.RecordBatch.from_arrays([one, two], names=["one", "two"])
+
+    return run
+
+
+def _registers_of(words: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            size, found = [], []
+            for text in batch.column(1):
+                raw = np.frombuffer(unpack(text.as_py()), np.uint8)
+                hashes, bounds = shingle_sets(raw, np.array([0, len(raw)]), words)
+                size.append(len(hashes))
+                found.append(registers(hashes, bounds)[0].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(found, pa.binary())], names=["node", "n", "registers"]
+            )
 
     return run
 
@@ -269,36 +329,49 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     first = of_node.groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("last")).where("one != last")
     twins = of_node.join(first, "doc_id").where("node != one").select("one", F.col("node").alias("two"))
     found = stage(twins, "links")
-    label: DataFrame | None = None
-    low, high = 0, 1
-    while True:
-        open_rows = shared.select("key", "node", "place", F.col("node").alias("component")) if label is None else _open(shared, label, low)
-        if label is not None and open_rows.isEmpty():
-            break
-        pairs = (
-            open_rows.repartition("key").sortWithinPartitions("key", "place")
-            .mapInArrow(_offer(low, high), "one long, two long").distinct()
-        )
+
+    def verify(pairs: DataFrame) -> DataFrame:
         one = carried.select(F.col("node").alias("one"), F.col("text").alias("p1"))
         two = carried.select(F.col("node").alias("two"), F.col("text").alias("p2"))
-        checked = pairs.join(two, "two").join(one, "one").select("one", "two", "p1", "p2").sortWithinPartitions("one")
-        more = stage(checked.mapInArrow(_verified(words), "one long, two long"), "links")
-        found = found.unionByName(more)
-        label = components(found)
-        low, high = high, 8 * high
+        both = pairs.join(two, "two").join(one, "one").select("one", "two", "p1", "p2").sortWithinPartitions("one")
+        return stage(both.mapInArrow(_verified(words), "one long, two long"), "links")
+
+    tested = stage(
+        shared.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_to_first, "one long, two long").distinct(),
+        "pairs",
+    )
+    found = found.unionByName(verify(tested))
+    label = components(found)
+    for limit in LIMITS:
+        open_rows = _open(shared, label)
+        sketched = carried.join(open_rows.select("node").distinct(), "node", "left_semi").mapInArrow(
+            _registers_of(words), "node long, n long, registers binary"
+        )
+        offered = stage(
+            open_rows.join(sketched, "node").select("key", "node", "component", "n", "registers")
+            .repartition("key").sortWithinPartitions("key", "node")
+            .mapInArrow(_offer(limit), "one long, two long").distinct(),
+            "pairs",
+        )
+        pairs = stage(offered.where("two IS NOT NULL").join(tested, ["one", "two"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = found.unionByName(verify(pairs))
+            label = components(found)
+        if offered.where("two IS NULL").isEmpty():
+            break
     return sets.drop("keys").join(nodes, ["set_a", "set_b"], "left"), label
 
 
-def _open(shared: DataFrame, label: DataFrame, low: int) -> DataFrame:
-    """Rows of buckets that still hold several components and nodes beyond ``low``."""
-    rows_ = shared.join(label, "node", "left").select(
-        "key", "node", "place", F.coalesce("component", "node").alias("component")
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of buckets that still hold several components."""
+    named = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("key").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")
     )
-    rows_ = stage(rows_, "bands")
-    several = rows_.groupBy("key").agg(
-        F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("place").alias("_p")
-    ).where((F.col("_a") != F.col("_b")) & (F.col("_p") > low)).select("key")
-    return stage(rows_.join(several, "key", "left_semi"), "bands")
+    # A bucket of two nodes had its only pair tested in the first round.
+    several = several.where((F.col("_a") != F.col("_b")) & (F.col("_n") > 2)).select("key")
+    return stage(named.join(several, "key", "left_semi"), "bands")
 
 
 def report(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
