@@ -4,28 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditrank.params import Excluded
 
-#: Longer lists become a join; a literal list this short still reaches the scan.
-LITERAL_LIMIT = 1_000
-
 
 def without_excluded(df: DataFrame, key: str, excluded: Excluded) -> DataFrame:
-    """Rows whose ``key`` is not excluded.
+    """Rows whose ``key`` is not excluded, by the rule of SQL's NOT IN.
 
-    A NULL in the list would empty a NOT IN, so a list holding one is refused
-    and NULLs of a table are left out.
+    A list of any length and a table give the same rows: with at least one
+    excluded id a row without a key goes as well, with none every row stays.  A
+    NULL in the list would empty a NOT IN, so a list holding one is refused and
+    NULLs of a table are left out.
     """
     if isinstance(excluded, DataFrame):
         ids = excluded.select(F.col(excluded.columns[0]).alias(key)).where(F.col(key).isNotNull())
-        return df.join(ids, key, "left_anti")
+        nothing = ids.limit(1).agg(F.count("*") == 0).scalar()
+        return df.where(F.col(key).isNotNull() | nothing).join(ids, key, "left_anti")
     ids = list(excluded)
     if any(i is None for i in ids):
         raise ValueError("the exclusion list must not hold NULL")
     if not ids:
         return df
-    if len(ids) <= LITERAL_LIMIT:
-        return df.where(~F.col(key).isin(ids))
-    table = df.sparkSession.createDataFrame([(i,) for i in ids], f"{key} string")
-    return without_excluded(df, key, table)
+    table = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    return df.where(F.col(key).isNotNull()).join(table, key, "left_anti")

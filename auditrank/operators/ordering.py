@@ -10,6 +10,8 @@ simply spread over a third of the ranges.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,50 +52,49 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, total: str | Non
     return result.drop("_place", "_part", "_start", "_total")
 
 
-#: A group up to this size is ordered inside one task.
-GROUP_ROWS = 1_000_000
-
-
-def with_previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    name: str,
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with the ``value`` of the row before it among rows of equal keys.
 
-    Groups are counted first.  Those of up to ``group_rows`` rows take a window
-    over the keys; longer ones are numbered across all tasks and each row meets
-    number n - 1 in a join, which spreads one very long group evenly.  The
-    first row of a group gets NULL.
+    Rows are laid out in ranges by (keys, order).  Within a range a window takes
+    the row before; the first row of a range looks at the last row of the range
+    before, of which one per range is sent to all tasks.  A long group is spread
+    over ranges like any other rows.  The first row of a group gets NULL.
     """
     keys = list(keys)
-    per_group = Window.partitionBy(*keys).orderBy(*order)
-    long_groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > group_rows)
-    if long_groups.isEmpty():
-        return df.withColumn(name, F.lag(value).over(per_group))
-    short = df.join(long_groups, keys, "left_anti").withColumn(name, F.lag(value).over(per_group))
-    rows = numbered(
-        df.join(long_groups, keys, "left_semi"), [F.col(c) for c in (*keys, *order)], "_n"
+    laid_out = stage(
+        df.repartitionByRange(*[F.col(c) for c in (*keys, *order)])
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "ordered",
+    ).withColumn("_part", F.shiftright("_place", _PLACE_BITS))
+    last = F.max_by(F.struct(*[F.col(c).alias(f"_{c}") for c in keys], F.col(value).alias("_value")), F.col("_place"))
+    ends = laid_out.groupBy("_part").agg(last.alias("_last"))
+    before = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))
+    inside = Window.partitionBy("_part", *keys).orderBy("_place")
+    same = [F.col(f"_carried._{c}").eqNullSafe(F.col(c)) for c in keys]
+    carried = F.when(F.col("_carried").isNotNull() & reduce(and_, same), F.col("_carried._value"))
+    return (
+        laid_out.withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn(name, F.lag(value).over(inside))
+        .join(F.broadcast(before), "_part")
+        .withColumn(name, F.when(F.col("_first"), carried).otherwise(F.col(name)))
+        .drop("_place", "_part", "_first", "_carried")
     )
-    before = rows.select((F.col("_n") + 1).alias("_n"), *keys, F.col(value).alias(name))
-    return short.unionByName(rows.join(before, ["_n", *keys], "left").drop("_n"))
 
 
 def ranked(df: DataFrame, score: str, key: str, rank: str, percentile: str) -> DataFrame:
     """Rank by falling score (ties by key) and percentile by rising score.
 
-    Equal scores share the mean of their places as percentile rank.
+    Equal scores share the mean of their places as percentile rank; missing
+    scores are equal to each other and rank last.
     """
-    rows = numbered(df, [F.desc(score), F.asc(key)], rank, total="_n")
+    rows = numbered(df, [F.desc_nulls_last(score), F.asc(key)], rank, total="_n")
     # Ties are folded before they meet the rows again; AQE splits the join if
     # one score is very common.
-    ties = rows.groupBy(score).agg(((F.min(rank) + F.max(rank)) / 2).alias("_mean"))
+    ties = rows.groupBy(F.col(score).alias("_tied")).agg(((F.min(rank) + F.max(rank)) / 2).alias("_mean"))
     place = F.col("_n") + 1 - F.col("_mean")
     return (
-        rows.join(ties, score)
+        rows.join(ties, F.col(score).eqNullSafe(F.col("_tied")))
         .withColumn(rank, F.col(rank).cast("int"))
         .withColumn(percentile, place / F.col("_n") * 100)
         .select(*df.columns, rank, percentile)

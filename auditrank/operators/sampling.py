@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def sample_draw(key: str, seed: int) -> Column:
+    """A number below 2^60 from the key and the seed, the same in any engine with MD5."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def fixed_size_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """At most ``size`` rows, the same ones on every run.
 
@@ -16,13 +22,13 @@ def fixed_size_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFram
     sees about ``size`` rows however large ``df`` is; should the bound hold too
     few, all rows are sorted.
     """
-    draw = F.xxhash64(F.col(key), F.lit(seed))
+    draw = sample_draw(key, seed)
     rows = df.count()
     wanted = min(size, rows)
     share = (wanted + 10 * math.sqrt(wanted) + 50) / rows if rows else 1.0
     drawn = df
     if share < 1.0:
-        bound = int(-(2**63) + share * 2**64)
+        bound = int(share * 2**60)
         drawn = df.where(draw < F.lit(bound))
         if drawn.count() < wanted:
             drawn = df

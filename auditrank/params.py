@@ -53,12 +53,11 @@ class OpenItemParams:
     """Tests 01 and 04 (rules inferred from the output columns).
 
     ``min_days`` is a parameter because the method's text says 30 days while
-    one of its file names says 60.
+    one of its file names says 60.  Items of any age count, if posted by the
+    reference date.
     """
 
     reference_date: date = date(2025, 12, 31)
-    posted_from: date = date(2024, 1, 1)
-    posted_to: date = date(2025, 12, 31)
     min_days: int = 30
     high_days: int = 90
     excluded: Excluded = ()

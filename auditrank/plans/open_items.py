@@ -22,7 +22,7 @@ def open_items(ledger: Ledger, p: OpenItemParams, centre: str = "BUKRS") -> Data
     rows = bseg.where(
         (F.col("SHKZG") == p.debit_credit)
         & safe_date(bseg, "AUGDT").isNull()
-        & safe_date(bseg, "H_BUDAT").between(F.lit(p.posted_from), F.lit(p.posted_to))
+        & (safe_date(bseg, "H_BUDAT") <= F.lit(p.reference_date))
         & valid_id("KUNNR", p.id_floor)
     )
     due = due_date(bseg, "NETDT", "H_BUDAT", "ZBD1T")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from auditrank import params
-from auditrank.operators.consolidate import checked_input, consolidate, without_old_model
+from auditrank.operators.consolidate import checked_input, consolidate, input_checks, without_old_model
 from auditrank.operators.features import median_table
 from auditrank.operators.numbers import as_numbers
 from auditrank.operators.pca import variance_table
@@ -61,9 +61,11 @@ def matrix_from_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return consolidate(as_numbers(usable, amounts), ROW_ORDER), rejected
 
 
-def matrix_from_ledger(ledger: Ledger, changes: DataFrame | None, p: AuditParams) -> DataFrame:
-    usable, _ = checked_input(matrix.assembled(all_tests(ledger, changes, p)))
-    return consolidate(usable)
+def matrix_from_ledger(ledger: Ledger, changes: DataFrame | None, p: AuditParams) -> tuple[DataFrame, DataFrame]:
+    """Consolidated matrix from the ledger, and the rejected rows."""
+    rows = stage(matrix.assembled(all_tests(ledger, changes, p)), "matrix-ledger")
+    usable, rejected = checked_input(rows)
+    return consolidate(usable), rejected
 
 
 def report_tables(run: ModelRun, with_stability: bool = False) -> dict[str, DataFrame | None]:
@@ -81,7 +83,7 @@ def report_tables(run: ModelRun, with_stability: bool = False) -> dict[str, Data
         "sensibilidade_contaminacao": reports.sensitivity(run.matrix),
         "pca": variance_table(run.matrix, run.components) if has_pca else None,
         "estabilidade_hiperparametros": (
-            stability(run.features, run.stats.variables, run.settings.forest) if with_stability else None
+            stability(run.matrix, run.features, run.stats.variables, seed=run.settings.forest.seed) if with_stability else None
         ),
         "grafico_clientes_por_teste": reports.flag_counts(summary),
         "grafico_scores": reports.score_pairs(run.matrix),
@@ -90,15 +92,31 @@ def report_tables(run: ModelRun, with_stability: bool = False) -> dict[str, Data
     }
 
 
-def write_run(consolidated: DataFrame, folder: str, settings: ModelSettings, with_stability: bool = False) -> list[str]:
-    """Score a consolidated matrix and write the scored matrix and all reports.
+def write_run(
+    consolidated: DataFrame,
+    folder: str,
+    settings: ModelSettings,
+    with_stability: bool = False,
+    rejected: DataFrame | None = None,
+) -> list[str]:
+    """Write a consolidated matrix, score it, and write the scored matrix and all
+    reports; with ``rejected``, also the rows left out and their counts.
 
-    The scored matrix is written first and the reports read it back.
+    Each matrix is written first and what follows reads it back.
     """
+    spark = consolidated.sparkSession
+    plain = f"{folder}/matriz_consolidada"
+    write_parquet(consolidated, plain)
+    consolidated = spark.read.parquet(plain)
+    write_csv(consolidated, f"{folder}/matriz_consolidada_csv")
+    if rejected is not None:
+        write_parquet(rejected, f"{folder}/linhas_rejeitadas")
+        counts = input_checks(spark.read.parquet(f"{folder}/linhas_rejeitadas"))
+        write_parquet(counts.select("linhas_originais", "linhas_id_nulo", "linhas_id_em_branco"), f"{folder}/contagem_rejeitadas")
     run = run_model(consolidated, settings)
     scored = f"{folder}/matriz_com_modelo"
     write_parquet(run.matrix, scored)
-    matrix_back = run.matrix.sparkSession.read.parquet(scored)
+    matrix_back = spark.read.parquet(scored)
     write_csv(matrix_back, f"{folder}/matriz_com_modelo_csv")
     run = ModelRun(matrix_back, run.features, run.stats, run.forest, run.components, run.settings)
     return write_reports(

@@ -11,6 +11,7 @@ from auditrank import fixed_values as fv
 from auditrank.operators.consolidate import KEY
 from auditrank.operators.iforest import ForestSettings, fit_forest, with_scores
 from auditrank.operators.ordering import numbered
+from auditrank.plans.model import SCORE
 from auditrank.session import stage
 
 
@@ -35,10 +36,7 @@ def compared(base: str, other: str, tops: Sequence[int] = fv.STABILITY_TOPS) ->
     Ranks have no ties, so Spearman's coefficient is their plain correlation.
     """
     a, b = F.col(base).cast("double"), F.col(other).cast("double")
-    if other == base:
-        spearman = F.when(F.count(a) > 1, F.lit(1.0))
-    else:
-        spearman = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+    spearman = F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
     aggregates = [spearman.alias("correlacao_spearman_ranking")]
     for k in tops:
         shared = F.count_if((a <= k) & (b <= k))
@@ -70,27 +68,25 @@ def comparison_table(ranks: DataFrame, base: str, settings: Mapping[tuple[int, s
     return row.select(F.inline(lines))
 
 
-def stability(features: DataFrame, variables: Sequence[str], base: ForestSettings = ForestSettings()) -> DataFrame:
-    """Six settings against the base setting.
+def stability(scored: DataFrame, features: DataFrame, variables: Sequence[str], score: str = SCORE, seed: int = fv.SEED) -> DataFrame:
+    """Six settings against the ranking of the run, whatever its settings were.
 
-    Trees are seeded by their number, so a smaller forest is the beginning of
-    a larger one: two fits and one scoring pass serve all six settings.
+    ``scored`` has the run's ``score`` per customer.  Trees are seeded by their
+    number, so a smaller forest is the beginning of a larger one: one fit for
+    each sample size and one scoring pass serve all six settings.
     """
-    wide = ForestSettings(trees=max(t for t, _ in fv.STABILITY_SETTINGS), seed=base.seed)
-    deep = ForestSettings(trees=base.trees, max_samples=512, seed=base.seed)
-    wide_marks = {
-        t: f"trees_{t}" for t in sorted({t for t, s in fv.STABILITY_SETTINGS if s in ("auto", "256")})
-    }
-    deep_name = "samples_512"
+    wanted: dict[int | str, dict[int, str]] = {}
+    columns = {}
+    for trees, samples in fv.STABILITY_SETTINGS:
+        size = samples if samples == "auto" or int(samples) != fv.AUTO_SAMPLE else "auto"
+        columns[trees, samples] = wanted.setdefault(size, {}).setdefault(trees, f"trees_{trees}_{size}")
     forests = [
-        (fit_forest(features, KEY, variables, wide), wide_marks),
-        (fit_forest(features, KEY, variables, deep), {deep.trees: deep_name}),
+        (fit_forest(features, KEY, variables, ForestSettings(max(marks), size, seed)), marks)
+        for size, marks in wanted.items()
     ]
-    scores = stage(with_scores(features, forests), "stability")
+    fitted = with_scores(features, forests)
+    scores = stage(fitted.join(scored.select(KEY, F.col(score).alias("_base")), KEY), "stability")
     # Higher scores mean more unusual from here on.
-    names = [*wide_marks.values(), deep_name]
-    ranks = group_ranks(scores.select(KEY, *((-F.col(n)).alias(n) for n in names)), names)
-    columns = {
-        (t, s): deep_name if s == "512" else wide_marks[t] for t, s in fv.STABILITY_SETTINGS
-    }
-    return comparison_table(ranks, wide_marks[base.trees], columns)
+    names = list(dict.fromkeys(columns.values()))
+    ranks = group_ranks(scores.select(KEY, "_base", *((-F.col(n)).alias(n) for n in names)), ["_base", *names])
+    return comparison_table(ranks, "_base", columns)

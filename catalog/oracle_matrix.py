@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from auditrank import fixed_values as fv
 from catalog.oracle_ledger import T01, T02, T03, T04, T05, T06
 from catalog.sqlparts import chain
 
@@ -39,11 +40,7 @@ VARIABLES = [
     "valor_total_devolvido_cliente", "perc_devolucao_sobre_faturamento_recalculado", "valor_referencia_priorizacao",
     *ORDINALS, "score_ponderado_binario", "score_total_criticidade", "score_ponderado_auditoria",
 ]
-DESCRIBED = [
-    "qtd_testes_com_indicio", "score_ponderado_auditoria", "valor_referencia_priorizacao",
-    "valor_total_titulos_vencidos_abertos_30d", "valor_total_estornos_cliente", "saldo_total_aberto_cliente",
-    "valor_total_titulos_prorrogados", "valor_total_devolvido_cliente", "perc_devolucao_sobre_faturamento_recalculado",
-]
+DESCRIBED = list(fv.DESCRIBED_VARIABLES)
 
 _fold = ", ".join([f"max({c}) AS {c}" for c in FOLDED] + [f"min({c}) AS {c}" for c in TEXTS])
 _doubled = ", ".join(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" for c in [*ORDINALS, *REFERENCE_VALUES])
@@ -122,14 +119,6 @@ FEATURES = MATRIX | {
 }
 
 REPORTS = MATRIX | {
-    "describe_long": _per(
-        DESCRIBED,
-        "SELECT '{v}' AS variavel, count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, "
-        'round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS "25%", round(quantile_cont(x, 0.5), 4) AS "50%", '
-        'round(quantile_cont(x, 0.75), 4) AS "75%", round(quantile_cont(x, 0.9), 4) AS "90%", '
-        'round(quantile_cont(x, 0.95), 4) AS "95%", round(quantile_cont(x, 0.99), 4) AS "99%", '
-        "round(max(x), 4) AS max FROM (SELECT CAST({v} AS DOUBLE) AS x FROM matrix_indicators)",
-    ),
     "test_summary": _per(
         TESTS,
         "SELECT '{v}' AS teste, CAST(sum({v}) AS BIGINT) AS clientes_com_indicio, "
@@ -204,6 +193,14 @@ SCORED = MATRIX | {
     + " AS a FROM matrix_indicators",
     **_classify("matrix_scores", 9),
     "scored": "SELECT * FROM matrix_indicators JOIN classified USING (id_cliente)",
+    "describe_long": _per(
+        DESCRIBED,
+        "SELECT '{v}' AS variavel, count(x) AS count, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, "
+        'round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS "25%", round(quantile_cont(x, 0.5), 4) AS "50%", '
+        'round(quantile_cont(x, 0.75), 4) AS "75%", round(quantile_cont(x, 0.9), 4) AS "90%", '
+        'round(quantile_cont(x, 0.95), 4) AS "95%", round(quantile_cont(x, 0.99), 4) AS "99%", '
+        "round(max(x), 4) AS max FROM (SELECT CAST({v} AS DOUBLE) AS x FROM scored)",
+    ),
     "top100": f"""
 SELECT id_cliente, nome_cliente, qtd_linhas_consolidadas, qtd_testes_com_indicio, score_ponderado_auditoria,
        valor_referencia_priorizacao, score_anomalia_iforest_v4,
@@ -229,6 +226,25 @@ SINGLE = {
     "exclusion_anti": """
 SELECT c_custkey, c_name FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)""",
+    "exclusion_forms": """
+SELECT forma, chave, count(*) AS linhas
+FROM (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS chave FROM orders),
+     (SELECT unnest(['lista', 'lista_longa', 'tabela', 'lista_vazia', 'tabela_vazia']) AS forma)
+WHERE forma LIKE '%vazia' OR chave NOT IN ('1-URGENT', '5-LOW')
+GROUP BY ALL""",
+    "sample_fixed_size": """
+SELECT CAST(1000000000 + c_custkey AS VARCHAR) AS "KUNNR", c_name AS "NAME1" FROM customer
+ORDER BY left(md5(CAST(1000000000 + c_custkey AS VARCHAR) || '|42'), 15), 1 LIMIT 100""",
+    "file_rows": """
+SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS id_cliente,
+       CASE WHEN o_orderstatus <> 'P' THEN 'Código São João' END AS nome_cliente,
+       CAST(round(o_totalprice * 100) AS BIGINT) / 100.0::DOUBLE AS valor_pedido, o_orderkey % 7 AS qtd_itens
+FROM orders WHERE o_totalprice >= 1000""",
+    "file_matrix": """
+SELECT id_cliente, max(nome_cliente) AS nome_cliente, max(valor_pedido) AS valor_pedido,
+       CAST(max(qtd_itens) AS DOUBLE) AS qtd_itens, count(*) AS qtd_linhas_consolidadas
+FROM file_rows WHERE id_cliente <> '' GROUP BY 1""",
+    "file_rejects": "SELECT count(*) AS linhas, count(DISTINCT id_cliente) AS chaves FROM file_rows WHERE id_cliente = ''",
     "pair_key": """
 SELECT o_orderkey, CASE WHEN s IS NOT NULL THEN least(p, s) END AS menor,
        CASE WHEN s IS NOT NULL THEN greatest(p, s) END AS maior, least(p, s) || '|' || greatest(p, s) || left(s, 0) AS chave
@@ -260,7 +276,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS id_cliente, c_name, c_acctbal, c_mktsegment
 
 #: name -> (chain, money columns)
 MATRIX_QUERIES = {
-    **{name: (SINGLE, "") for name in SINGLE},
+    **{name: (SINGLE, "") for name in SINGLE if name != "file_rows"},
     "matrix_assembled": (MATRIX, " ".join(AMOUNTS)),
     "matrix_consolidated": (MATRIX, " ".join(AMOUNTS)),
     "duplicate_diagnostics": (MATRIX, ""),
@@ -268,9 +284,9 @@ MATRIX_QUERIES = {
     "feature_medians": (FEATURES, ""),
     "features_scaled": (FEATURES, ""),
     **{name: (REPORTS, "") for name in (
-        "describe_long", "test_summary", "test_correlation", "sensitivity", "chart_flag_counts")},
+        "test_summary", "test_correlation", "sensitivity", "chart_flag_counts")},
     **{name: (CUSTOMERS, "") for name in ("rank_first", "rank_pct_avg", "priority_level", "rank_compare")},
-    **{name: (SCORED, "") for name in ("top100", "run_summary", "chart_score_pairs")},
+    **{name: (SCORED, "") for name in ("describe_long", "top100", "run_summary", "chart_score_pairs")},
 }
 
 

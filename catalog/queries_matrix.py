@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from auditrank.operators.pca import fit_components, variance_table
 from auditrank.operators.sampling import fixed_size_sample
 from auditrank.plans import model, reports
 from auditrank.plans.matrix import assembled, stacked
+from auditrank.plans.pipeline import matrix_from_file
 from auditrank.plans.stability import comparison_table, group_ranks, stability
 from auditrank.session import shared_folder, stage
 from auditrank.sources.delimited import ROW_ORDER, read_delimited, typed
@@ -28,6 +30,8 @@ from auditrank.sources.sinks import write_csv
 from catalog.queries_ledger import t01, t02, t03, t04, t05, t06
 
 KEY = co.KEY
+#: Fewer than there are customers at any scale of the given tables.
+SAMPLE_ROWS = 100
 
 
 def _results(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -177,6 +181,49 @@ def exclusion_anti(spark: SparkSession, sf: str) -> DataFrame:
     return without_excluded(customer, "c_custkey", large).select("c_custkey", "c_name")
 
 
+def exclusion_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """One list in every form, over keys that are NULL in places."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    keyed = orders.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("chave"))
+    listed = ["1-URGENT", "5-LOW"]
+    table = orders.where(F.col("o_orderpriority").isin(listed)).select(F.col("o_orderpriority").alias("id"))
+    forms = {
+        "lista": listed,
+        "lista_longa": [*listed, *(f"x{i}" for i in range(2_000))],
+        "tabela": table,
+        "lista_vazia": [],
+        "tabela_vazia": table.where("id IS NULL"),
+    }
+    parts = [
+        without_excluded(keyed, "chave", ids).groupBy("chave").agg(F.count("*").alias("linhas")).select(F.lit(form).alias("forma"), "*")
+        for form, ids in forms.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _file_matrix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as a delimited matrix: ids that repeat or are blank, Brazilian
+    numbers, padded names, a column of an old model, semicolons and ISO-8859-1."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    units, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
+    grouped = F.concat(F.floor(units / 1000).cast("string"), F.lit("."), F.lpad((units % 1000).cast("string"), 3, "0"), F.lit(","), rest)
+    blank = F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.concat(F.lit(" "), F.col("o_custkey").cast("string")))
+    text = orders.where(F.col("o_totalprice") >= 1000).select(
+        blank.alias(" id_cliente "),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise(F.lit("Código São João")).alias("nome_cliente"),
+        grouped.alias("valor_pedido "),
+        (F.col("o_orderkey") % 7).cast("string").alias("qtd_itens"),
+        F.lit("1").alias("score_iforest_v1"),
+    )
+    path = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    text.write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1").option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
+    matrix, rejected = matrix_from_file(spark, path)
+    return _rounded(matrix), rejected.agg(F.count("*").alias("linhas"), F.count_distinct(KEY).alias("chaves"))
+
+
 def input_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Order rows as a matrix whose key is blank or missing in places."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
@@ -209,7 +256,7 @@ def scaled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(reports.described(_matrix(spark, sf)), 4)
+    return _rounded(reports.described(_scored_stand_in(spark, sf)), 4)
 
 
 def top100(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,8 +294,12 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stability_study(spark: SparkSession, sf: str) -> DataFrame:
-    _, features, stats = _features(spark, sf)
-    return stability(features, stats.variables)
+    matrix, features, stats = _features(spark, sf)
+    run = model.ModelSettings(with_pca=False)
+    forest = fit_forest(features, KEY, stats.variables, run.forest)
+    scores = with_scores(features, [(forest, {forest.trees: "score_samples"})])
+    scored = scores.select(KEY, (-F.col("score_samples")).alias(model.SCORE))
+    return stability(scored, features, stats.variables)
 
 
 MATRIX_QUERIES = {
@@ -278,8 +329,11 @@ MATRIX_QUERIES = {
     "chart_flag_counts": lambda s, sf: reports.flag_counts(reports.summary_by_test(_matrix(s, sf))),
     "chart_score_pairs": lambda s, sf: _rounded(reports.score_pairs(_scored_stand_in(s, sf)), 9),
     "sample_fixed_size": lambda s, sf: fixed_size_sample(
-        ledger_views(s, sf).kna1.select("KUNNR", "NAME1"), "KUNNR", fv.CHART_SAMPLE, fv.SEED
+        ledger_views(s, sf).kna1.select("KUNNR", "NAME1"), "KUNNR", SAMPLE_ROWS, fv.SEED
     ),
+    "exclusion_forms": exclusion_forms,
+    "file_matrix": lambda s, sf: _file_matrix(s, sf)[0],
+    "file_rejects": lambda s, sf: _file_matrix(s, sf)[1],
     "iforest_scores": iforest_scores,
     "iforest_rank": iforest_rank,
     "pca_projection": pca_projection,

@@ -92,11 +92,17 @@ def test_optional_empty_reports_are_skipped(spark, tmp_path):
 
 def test_ledger_to_reports(spark, sf, tmp_path):
     params = pipeline.AuditParams(OPEN, FIRST, REVERSALS, OPEN, CENTRE, returns=RETURNS)
-    matrix = pipeline.matrix_from_ledger(ledger_views(spark, sf), due_date_changes(spark, sf), params)
+    matrix, rejected = pipeline.matrix_from_ledger(ledger_views(spark, sf), due_date_changes(spark, sf), params)
+    rejected = rejected.unionByName(rejected.sparkSession.createDataFrame([(None,), ("",)], "id_cliente string"), allowMissingColumns=True)
     settings = ModelSettings(ForestSettings(trees=20))
     folder = str(tmp_path / "run")
-    written = pipeline.write_run(matrix, folder, settings)
-    assert "estabilidade_hiperparametros" not in written and "pca" in written
+    written = pipeline.write_run(matrix, folder, settings, with_stability=True, rejected=rejected)
+    assert "estabilidade_hiperparametros" in written and "pca" in written
+    assert spark.read.parquet(f"{folder}/estabilidade_hiperparametros").count() == 6  # the base has 20 trees
+    assert spark.read.parquet(f"{folder}/linhas_rejeitadas").count() == 2
+    assert spark.read.parquet(f"{folder}/contagem_rejeitadas").collect()[0].asDict() == {
+        "linhas_originais": 2, "linhas_id_nulo": 1, "linhas_id_em_branco": 1}
+    assert spark.read.parquet(f"{folder}/matriz_consolidada").count() == 150
     scored = spark.read.parquet(f"{folder}/matriz_com_modelo")
     n = scored.count()
     assert n == 149 and scored.select(RANK).distinct().count() == n

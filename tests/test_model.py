@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from auditrank import fixed_values as fv
 from auditrank.operators import iforest as fo
 from auditrank.operators.pca import fit_components, variance_table
-from auditrank.plans.model import classified
+from auditrank.operators.consolidate import KEY
+from auditrank.operators.iforest import ForestSettings, fit_forest, with_scores
+from auditrank.plans.model import SCORE, classified
 from auditrank.plans.stability import stability
 
 FEATURES = ["x", "y", "z"]
@@ -131,11 +133,19 @@ def test_components_equal_svd(spark, points):
 
 
 def test_stability_of_the_base_setting_is_one(spark, points):
-    rows = {(r.n_estimators, r.max_samples): r for r in stability(points, FEATURES).collect()}
+    def scores(settings):
+        forest = fit_forest(points, KEY, FEATURES, settings)
+        return with_scores(points, [(forest, {forest.trees: "s"})]).select(KEY, (-F.col("s")).alias(SCORE))
+
+    base = scores(ForestSettings())
+    same = scores(ForestSettings(max_samples="256"))
+    assert base.exceptAll(same).isEmpty()  # the study fits both as one
+    rows = {(r.n_estimators, r.max_samples): r for r in stability(base, points, FEATURES).collect()}
     assert list(rows) == list(fv.STABILITY_SETTINGS)
     for setting in ((300, "auto"), (300, "256")):
         r = rows[setting]
-        assert (r.correlacao_spearman_ranking, r.sobreposicao_top100, r.sobreposicao_top1000) == (1.0, 1.0, 1.0)
+        assert r.correlacao_spearman_ranking == pytest.approx(1.0)
+        assert (r.sobreposicao_top100, r.sobreposicao_top1000) == (1.0, 1.0)
     for r in rows.values():
-        assert 0.8 < r.correlacao_spearman_ranking <= 1.0 and 0 <= r.sobreposicao_top100 <= 1
+        assert 0.8 < r.correlacao_spearman_ranking <= 1.0 + 1e-9 and 0 <= r.sobreposicao_top100 <= 1
         assert r.sobreposicao_top1000 == 1.0  # all customers
