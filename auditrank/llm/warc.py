@@ -42,13 +42,16 @@ def record_types(pages: DataFrame) -> DataFrame:
         {"payload_bytes": F.octet_length(html).cast("long"), "payload_digest": F.sha2(F.encode(html, "utf-8"), 256)}
     )
     (digest,) = unused(known, "_digest")
-    # Only payloads that occur again get a row; folded before the shuffle.
-    again = (
+    # Only payloads that occur again get a row; folded before the shuffle.  The
+    # table is written first, so Spark knows its size when it plans the join: a
+    # small one is sent to the pages, and they are not shuffled.
+    again = stage(
         known.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES)
         .groupBy(F.col("payload_digest").alias(digest))
         .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
         .where((F.col("_n") > 1) & F.col("_first").isNotNull())
-        .drop("_n")
+        .drop("_n"),
+        "warc-payloads",
     )
     first = F.when(F.col("page_id").eqNullSafe(F.col("_first")), None).otherwise(F.col("_first"))
     return (
@@ -221,21 +224,27 @@ def report(pages: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path)
     records = stage(read(spark, path), "warc-records")
-    number = F.regexp_extract(F.col("id"), r"^<urn:page:(-?\d+)>$", 1)
-    page_id = F.expr("try_cast(_number AS BIGINT)")
+    plain = records.where("type != 'revisit'").select(
+        _page(F.col("id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.lit(None).cast("long").alias("refers_to"),
+    )
     bodies = records.where("type = 'response'").groupBy(F.col("id").alias("refers")).agg(
-        F.min("payload_bytes").alias("_bytes"), F.min("payload_digest").alias("_digest")
+        F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest")
     )
-    other = F.regexp_extract(F.col("refers"), r"^<urn:page:(-?\d+)>$", 1)
-    revisit = F.col("type") == "revisit"
-    return (
-        records.withColumns({"_number": number, "_other": F.when(revisit, other)})
-        .join(bodies, "refers", "left")
-        .select(
-            page_id.alias("page_id"),
-            F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-            F.when(revisit, F.col("_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-            F.col("type").alias("record_type"),
-            F.expr("try_cast(_other AS BIGINT)").alias("refers_to"),
-        )
+    revisits = records.where("type = 'revisit'").select("id", "refers", "type").join(bodies, "refers", "left").select(
+        _page(F.col("id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        _page(F.col("refers")).alias("refers_to"),
     )
+    return plain.unionByName(revisits)
+
+
+def _page(urn: Column) -> Column:
+    """The page's id from its record's name, or NULL."""
+    number = F.regexp_extract(urn, r"^<urn:page:(-?\d+)>$", 1)
+    return F.when(number != "", number.cast("long"))
