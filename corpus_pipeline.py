@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
-from auditrank.llm.frames import table, unused
+from auditrank.llm.frames import ship, table, unused
 from auditrank.llm.queries import vocabulary_path
 from auditrank.session import stage
 
@@ -27,6 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document that had no word to begin with stays as it is.
     """
+    ship(spark)
     (removed,) = unused(docs, "_removed_lines")
     cut = line_dedup.dedup_lines(docs, removed)
     emptied = (F.size(removed) > 0) & ~F.col("text").rlike(_HAS_WORD)
@@ -39,6 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five words, 0.8."""
+    ship(spark)
     return near_dedup.one_of_each(docs)
 
 
@@ -49,6 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole texts as token ids."""
+    ship(spark)
     encoded = bpe.encode(docs, vocabulary_path(), "token_ids")
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
