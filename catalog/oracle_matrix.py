@@ -118,6 +118,45 @@ FEATURES = MATRIX | {
     + " FROM numbers n CROSS JOIN medians m CROSS JOIN ranges r",
 }
 
+def _leading(matrix: str, rounds: int = 600) -> str:
+    """Leading eigenvector by power iteration, its largest loading positive, and
+    its eigenvalue."""
+    return f"""
+SELECT list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) AS v,
+       list_dot_product(v, list_transform(cov, lambda r: list_dot_product(r, v))) AS size
+FROM {matrix}, (
+  WITH RECURSIVE steps AS (
+    SELECT 0 AS k, list_transform(cov, lambda r, i: 1.0::DOUBLE + i / 100.0) AS v FROM {matrix}
+    UNION ALL
+    SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+    FROM (SELECT k, list_transform(cov, lambda r: list_dot_product(r, v)) AS w FROM steps, {matrix} WHERE k < {rounds})
+  ) SELECT v FROM steps WHERE k = {rounds})"""
+
+
+#: Covariance of the scaled variables, two leading vectors with deflation.
+COMPONENTS = FEATURES | {
+    "long_features": "SELECT id_cliente, v AS name, x, x - avg(x) OVER (PARTITION BY v) AS d "
+    "FROM (UNPIVOT features_scaled ON COLUMNS(* EXCLUDE id_cliente) INTO NAME v VALUE x)",
+    "pairs_cov": "SELECT a.name AS i, b.name AS j, sum(a.d * b.d) / (count(*) - 1) AS c "
+    "FROM long_features a JOIN long_features b USING (id_cliente) GROUP BY ALL",
+    "cov1": "SELECT list(r ORDER BY i) AS cov, list(i ORDER BY i) AS names "
+    "FROM (SELECT i, list(c ORDER BY j) AS r FROM pairs_cov GROUP BY i)",
+    "lead1": _leading("cov1"),
+    "cov2": "SELECT list_transform(cov, lambda r, i: list_transform(r, lambda c, j: c - size * v[i] * v[j])) AS cov FROM cov1, lead1",
+    "lead2": _leading("cov2"),
+    "loadings": "SELECT unnest(names) AS name, unnest(a.v) AS w1, unnest(b.v) AS w2 FROM cov1, lead1 a, lead2 b",
+    "pca_projection": "SELECT id_cliente, round(sum(d * w1), 4) AS pca_1, round(sum(d * w2), 4) AS pca_2 "
+    "FROM long_features JOIN loadings USING (name) GROUP BY 1",
+    "chart_pca": "SELECT * FROM pca_projection ORDER BY left(md5(id_cliente || '|42'), 15), 1 LIMIT 100",
+    "shares": "SELECT a.size / t AS s1, b.size / t AS s2 FROM lead1 a, lead2 b, "
+    "(SELECT sum(c) AS t FROM pairs_cov WHERE i = j)",
+    "pca_variance": """
+SELECT unnest(['PCA 1', 'PCA 2', 'PCA 1 + PCA 2']) AS componente,
+       unnest([round(s1, 6), round(s2, 6), round(s1 + s2, 6)]) AS variancia_explicada,
+       unnest([round(s1 * 100, 6), round(s2 * 100, 6), round((s1 + s2) * 100, 6)]) AS variancia_explicada_percentual
+FROM shares""",
+}
+
 REPORTS = MATRIX | {
     "test_summary": _per(
         TESTS,
@@ -283,6 +322,7 @@ MATRIX_QUERIES = {
     "matrix_indicators": (MATRIX, " ".join(a for a in AMOUNTS if a not in REFERENCE_VALUES)),
     "feature_medians": (FEATURES, ""),
     "features_scaled": (FEATURES, ""),
+    **{name: (COMPONENTS, "") for name in ("pca_projection", "pca_variance", "chart_pca")},
     **{name: (REPORTS, "") for name in (
         "test_summary", "test_correlation", "sensitivity", "chart_flag_counts")},
     **{name: (CUSTOMERS, "") for name in ("rank_first", "rank_pct_avg", "priority_level", "rank_compare")},

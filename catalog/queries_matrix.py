@@ -283,14 +283,17 @@ def iforest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     _, features, stats = _features(spark, sf)
+    features = stage(_rounded(features), "features")
     components = fit_components(features, stats.variables)
     columns = [F.col(v) for v in stats.variables]
-    return features.select(KEY, *(components.projection(i, columns).alias(f"pca_{i + 1}") for i in range(2)))
+    projected = (components.projection(i, columns).alias(f"pca_{i + 1}") for i in range(2))
+    return _rounded(features.select(KEY, *projected), 4)
 
 
 def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
     _, features, stats = _features(spark, sf)
-    return variance_table(features, fit_components(features, stats.variables))
+    features = stage(_rounded(features), "features")
+    return _rounded(variance_table(features, fit_components(features, stats.variables)))
 
 
 def stability_study(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,5 +341,6 @@ MATRIX_QUERIES = {
     "iforest_rank": iforest_rank,
     "pca_projection": pca_projection,
     "pca_variance": pca_variance,
+    "chart_pca": lambda s, sf: reports.pca_sample(pca_projection(s, sf), SAMPLE_ROWS),
     "stability": stability_study,
 }
