@@ -11,11 +11,11 @@ a-z).  Two documents are linked if 100 * shared >= 80 * united.
 3. ``BANDS`` bands of ``ROWS`` registers are shuffled.  A bucket first offers
    each node with its first one, which connects most of a large group at a cost
    that grows with its size.  Buckets that still hold several components then
-   compare registers across them; each node offers its best partners, then more
-   (``LIMITS``, the last without limit) while it stays unconnected.  In the end
-   every pair of a bucket was tested, or ruled out by its estimate, or its ends
-   are connected anyway.
-4. A pair whose Jaccard estimate, corrected for register collisions, lies five
+   compare registers across them, and small sets at once; of large ones each node
+   offers its best partners, then all (``LIMITS``).  In the end every pair of a
+   bucket was tested, or ruled out by its estimate, or its ends are connected
+   anyway.
+4. A pair whose Jaccard estimate, corrected for register collisions, lies four
    standard errors below the threshold is dropped; the others are decided on the
    full sets.
 5. Verified links are joined to components by smallest label and pointer jumping.
@@ -52,7 +52,13 @@ REGISTERS = 1 << REGISTER_BITS
 MANTISSA_BITS = 10
 BANDS, ROWS = 42, 6
 #: Partners that a node offers per bucket and round across components.
-LIMITS = (4, 64, None)
+LIMITS = (8, None)
+#: Sets of so many hashes at most travel with their nodes and are compared at once.
+SMALL_SET = 512
+#: Standard errors below the threshold from which an estimate rules a pair out.
+SIGMAS = 4.0
+#: Hashes of sets that a verifying worker remembers.
+HELD_HASHES = 4_000_000
 #: Chance that two unequal minima give the same register (Yu and Weber 2017).
 _COLLISION = 0.169919487159739093975315012348 / 2**MANTISSA_BITS
 
@@ -207,12 +213,26 @@ def _to_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(one[later]), pa.array(node[later])], names=["one", "two"])
 
 
+def _jaccard_reached(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes are similar enough."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    shared = int(np.count_nonzero(two[at] == one))
+    return 100 * shared >= THRESHOLD_PERCENT * (len(one) + len(two) - shared)
+
+
 def _offer(limit: int | None):
-    """Pairs across the components of a bucket whose estimate leaves them open,
-    each node's ``limit`` best ones; a row without ``two`` says that there are more.
+    """Pairs across the components of a bucket whose estimate leaves them open.
+
+    Sets of up to ``SMALL_SET`` hashes travel with their nodes: such pairs are
+    decided here, and of a node's links one to each component is handed on as
+    ``sure``, which connects as much as all of them.  Of the others a node offers
+    its ``limit`` best; a row without ``two`` says that it has more.  A pair is
+    looked at in the first of its common bands only.
 
-    Rows (key, node, component, n, registers) come sorted by key; a bucket that
-    still holds several components is in memory at once.
+    Rows (key, node, component, n, registers, hashes) come sorted by key; a
+    bucket that still holds several components is in memory at once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,34 +250,45 @@ def _offer(limit: int | None):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, node, group, size = (table.column(k).to_numpy() for k in range(4))
         regs = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [None if x is None else np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
+        small = size <= SMALL_SET
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
-        ones, twos, more = [], [], []
+        sure, open_, more = set(), set(), set()
         for a, b in zip(start, [*start[1:], len(key)]):
             names, counts = np.unique(group[a:b], return_counts=True)
+            if len(names) == 1:
+                continue
+            bands = band_keys(regs[a:b])
+            band = int((bands[0].view(np.int64) == key[a]).argmax())
             # Every open pair has an end outside the largest component.
-            outside = np.flatnonzero(group[a:b] != names[counts.argmax()]) + a
+            outside = np.flatnonzero(group[a:b] != names[counts.argmax()])
             for part in range(0, len(outside), 64):
                 i = outside[part : part + 64]
-                same = (regs[i][:, None, :] == regs[None, a:b, :]).sum(2) / REGISTERS
-                largest = np.maximum(size[i][:, None], size[None, a:b])
-                margin = 5 * np.sqrt(0.16 * (1 / largest + 1 / REGISTERS))
-                fits = (same >= THRESHOLD_PERCENT / 100 - margin) & (group[i][:, None] != group[None, a:b])
-                if limit is not None:
-                    best = np.argsort(np.where(fits, -same, 1.0), axis=1, kind="stable")
-                    over = fits.sum(1) > limit
-                    more.append(node[i[over]])
-                    kept = np.zeros_like(fits)
-                    np.put_along_axis(kept, best[:, :limit], True, axis=1)
-                    fits &= kept
+                same = (regs[a + i][:, None, :] == regs[None, a:b, :]).sum(2) / REGISTERS
+                largest = np.maximum(size[a + i][:, None], size[None, a:b])
+                margin = SIGMAS * np.sqrt(0.16 * (1 / largest + 1 / REGISTERS))
+                fits = (same >= THRESHOLD_PERCENT / 100 - margin) & (group[a + i][:, None] != group[None, a:b])
                 x, y = np.nonzero(fits)
-                ones.append(np.minimum(node[i[x]], node[a + y]))
-                twos.append(np.maximum(node[i[x]], node[a + y]))
-        if ones:
-            pairs = np.unique(np.column_stack((np.concatenate(ones), np.concatenate(twos))), axis=0)
-            rest = np.unique(np.concatenate(more)) if more else np.zeros(0, np.int64)
-            one = pa.array(np.append(pairs[:, 0], rest))
-            two = pa.array(np.append(pairs[:, 1], rest), mask=np.arange(len(pairs) + len(rest)) >= len(pairs))
-            yield pa.RecordBatch.from_arrays([one, two], names=["one", "two"])
+                x, y, score = i[x], y, same[x, y]
+                first = (bands[x] == bands[y]).argmax(1) == band
+                order = np.flatnonzero(first)[np.argsort(-score[first], kind="stable")]
+                linked, offered = set(), {}
+                for u, v in zip((a + x[order]).tolist(), (a + y[order]).tolist()):
+                    pair = (min(node[u], node[v]), max(node[u], node[v]))
+                    if small[u] and small[v]:
+                        if (u, group[v]) not in linked and _jaccard_reached(sets[u], sets[v]):
+                            linked.add((u, group[v]))
+                            sure.add(pair)
+                    elif limit is None or offered.get(u, 0) < limit:
+                        offered[u] = offered.get(u, 0) + 1
+                        open_.add(pair)
+                    else:
+                        more.add(node[u])
+        found = [(one, two, True) for one, two in sure] + [(one, two, False) for one, two in open_]
+        found += [(one, None, False) for one in more]
+        if found:
+            columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "sure"])
 
     return run
 
@@ -265,14 +296,16 @@ def _offer(limit: int | None):
 def _registers_of(words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
-            size, found = [], []
+            size, found, held = [], [], []
             for text in batch.column(1):
                 raw = np.frombuffer(unpack(text.as_py()), np.uint8)
                 hashes, bounds = shingle_sets(raw, np.array([0, len(raw)]), words)
                 size.append(len(hashes))
                 found.append(registers(hashes, bounds)[0].tobytes())
+                held.append(hashes.tobytes() if len(hashes) <= SMALL_SET else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(found, pa.binary())], names=["node", "n", "registers"]
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(found, pa.binary()), pa.array(held, pa.binary())],
+                names=["node", "n", "registers", "hashes"],
             )
 
     return run
@@ -287,19 +320,24 @@ def _verified(words: int):
             hashes, bounds = shingle_sets(raw, np.array([0, len(raw)]), words)
             return hashes, registers(hashes, bounds)[0]
 
+        # Nodes come again with other partners; what is kept of them is bounded.
         held: dict[int, tuple] = {}
+        kept = 0
         for batch in rows(batches):
             one, two = (batch.column(k).to_pylist() for k in (0, 1))
             good = np.zeros(len(one), bool)
             for i in range(len(one)):
-                if one[i] not in held:
-                    held = {one[i]: sketch(batch.column(2)[i].as_py())}
-                (h1, r1), (h2, r2) = held[one[i]], sketch(batch.column(3)[i].as_py())
-                margin = 5 * np.sqrt(0.16 * (1 / max(len(h1), len(h2)) + 1 / REGISTERS))
+                if kept > HELD_HASHES:
+                    held, kept = {}, 0
+                for k, node in ((2, one[i]), (3, two[i])):
+                    if node not in held:
+                        held[node] = sketch(batch.column(k)[i].as_py())
+                        kept += len(held[node][0]) + REGISTERS
+                (h1, r1), (h2, r2) = held[one[i]], held[two[i]]
+                margin = SIGMAS * np.sqrt(0.16 * (1 / max(len(h1), len(h2)) + 1 / REGISTERS))
                 if estimate(r1, r2, len(h1), len(h2)) < THRESHOLD_PERCENT / 100 - margin:
                     continue
-                shared = len(h1) + len(h2) - len(np.union1d(h1, h2))
-                good[i] = 100 * shared >= THRESHOLD_PERCENT * (len(h1) + len(h2) - shared)
+                good[i] = _jaccard_reached(h1, h2)
             if good.any():
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["one", "two"]
@@ -345,19 +383,21 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     for limit in LIMITS:
         open_rows = _open(shared, label)
         sketched = carried.join(open_rows.select("node").distinct(), "node", "left_semi").mapInArrow(
-            _registers_of(words), "node long, n long, registers binary"
+            _registers_of(words), "node long, n long, registers binary, hashes binary"
         )
         offered = stage(
-            open_rows.join(sketched, "node").select("key", "node", "component", "n", "registers")
+            open_rows.join(sketched, "node").select("key", "node", "component", "n", "registers", "hashes")
             .repartition("key").sortWithinPartitions("key", "node")
-            .mapInArrow(_offer(limit), "one long, two long").distinct(),
+            .mapInArrow(_offer(limit), "one long, two long, sure boolean").distinct(),
             "pairs",
         )
-        pairs = stage(offered.where("two IS NOT NULL").join(tested, ["one", "two"], "left_anti"), "pairs")
+        sure = offered.where("sure").select("one", "two")
+        pairs = stage(offered.where("two IS NOT NULL AND NOT sure").select("one", "two").join(tested, ["one", "two"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             found = found.unionByName(verify(pairs))
-            label = components(found)
+        found = found.unionByName(sure)
+        label = components(found)
         if offered.where("two IS NULL").isEmpty():
             break
     return sets.drop("keys").join(nodes, ["set_a", "set_b"], "left"), label
