@@ -13,18 +13,19 @@ def with_percentile_levels(per_customer: DataFrame, indicator: str, test: str, a
     """Add ``teste_NN`` with criticality and score 0, 1 or 2.
 
     The cuts need all customers before any is flagged, so the table is written
-    once and read twice.  The cuts are a single row by construction.
+    once and read twice.  The cuts are a scalar, so no join is planned for them.
     """
     table = stage(per_customer, f"test-{test}")
     cuts = (
         table.where(F.col(indicator) > 0)
-        .agg(F.percentile_approx(indicator, F.array(F.lit(0.75), F.lit(0.90)), accuracy).alias("_cuts"))
+        .agg(F.percentile_approx(indicator, F.array(F.lit(0.75), F.lit(0.90)), accuracy))
+        .scalar()
     )
     value = F.col(indicator)
-    high = (value > 0) & (value >= F.col("_cuts")[0])
-    very_high = (value > 0) & (value >= F.col("_cuts")[1])
+    high = (value > 0) & (value >= cuts[0])
+    very_high = (value > 0) & (value >= cuts[1])
     level = F.when(very_high, 2).when(high, 1).otherwise(0)
-    return table.crossJoin(F.broadcast(cuts)).select(
+    return table.select(
         *table.columns,
         flag(high).alias(f"teste_{test}"),
         level.alias(f"criticidade_teste_{test}"),

@@ -248,11 +248,13 @@ def thresholds(summary: DataFrame, p: ReversalParams) -> DataFrame:
 def threshold_flags(customers: DataFrame, summary: DataFrame, limits: DataFrame) -> DataFrame:
     """Evidence per customer and four flags; every customer is kept.
 
-    ``limits`` is the result of a global aggregate and so exactly one row,
-    which bounds its broadcast.
+    ``limits`` is the result of a global aggregate and so exactly one row; its
+    values are scalars, for which no join is planned.
     """
     evidence = summary.drop("nome_cliente")
-    joined = customers.join(evidence, "id_cliente", "left").crossJoin(F.broadcast(limits))
+    joined = customers.join(evidence, "id_cliente", "left").withColumns(
+        {name: limits.select(name).scalar() for name in limits.columns}
+    )
     zero = F.lit(0).cast("bigint")
     count = F.coalesce("qtd_estornos_cliente", zero)
     value = F.coalesce("valor_total_estornos_cliente", F.lit(0).cast(NUMERIC))
