@@ -44,7 +44,7 @@ _PARTS = 16
 #: Following rows of the same word that one pass compares a row with.
 REACH = 1024
 #: Partners per line and word that the first pass hands on.
-BEST = 4
+BEST = 64
 
 #: Lines of more words have a second bitmap and must share more than one word of
 #: their prefixes.
