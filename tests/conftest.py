@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -21,6 +22,7 @@ def spark():
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
             "spark.sql.ansi.enabled": "true",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
