@@ -79,4 +79,69 @@ QUERIES: dict[str, Query] = {
     "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The results that SQL can express; the others are held against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM (SELECT page_id, body,
+             CASE WHEN strlen(body) >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first_id
+      FROM (SELECT page_id, coalesce(html, '') AS body FROM pages))""",
+    "op7_chat": """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+shown AS (
+  SELECT *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') AS safe,
+         replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') AS safe_role FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(safe) + length(safe_role) + 24) AS BIGINT) AS formatted_chars
+FROM shown GROUP BY conv_id""",
+    "op8_decontamination": f"""
+WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS window
+  FROM item_words, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(i) WHERE len(w) > 0),
+doc_words AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+doc_windows AS (
+  SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS window
+  FROM doc_words, (SELECT DISTINCT size FROM item_windows), unnest(range(1, len(w) - size + 2)) AS r(i)),
+hits AS (SELECT doc_id, i, d.size AS size, item_id FROM doc_windows d JOIN item_windows b ON d.window = b.window AND d.size = b.size),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, size)) AS r(k) GROUP BY 1),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_near_dedup": """
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, w[i] || coalesce(' ' || w[i + 1], '') AS shingle
+  FROM doc_words, unnest(range(1, greatest(len(w), least(len(w) + 1, 2)))) AS r(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (
+  SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT one, two FROM shared JOIN sizes x ON one = x.doc_id JOIN sizes y ON two = y.doc_id
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT one, two FROM linked UNION ALL SELECT two, one FROM linked),
+reached AS (
+  SELECT one AS doc_id, two AS other FROM both_ways
+  UNION SELECT doc_id, two FROM reached JOIN both_ways ON other = one),
+least_id AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
+FROM doc_words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)""",
+}
