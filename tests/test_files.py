@@ -102,7 +102,7 @@ def test_ledger_to_reports(spark, sf, tmp_path):
     assert spark.read.parquet(f"{folder}/linhas_rejeitadas").count() == 2
     assert spark.read.parquet(f"{folder}/contagem_rejeitadas").collect()[0].asDict() == {
         "linhas_originais": 2, "linhas_id_nulo": 1, "linhas_id_em_branco": 1}
-    assert spark.read.parquet(f"{folder}/matriz_consolidada").count() == 150
+    assert spark.read.parquet(f"{folder}/matriz_consolidada").count() == 149
     scored = spark.read.parquet(f"{folder}/matriz_com_modelo")
     n = scored.count()
     assert n == 149 and scored.select(RANK).distinct().count() == n
