@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from auditrank.llm import bpe, decontaminate, line_dedup, near_dedup, words
@@ -156,6 +158,56 @@ def test_estimates_follow_similarity():
         assert abs(near_dedup.estimate(regs[0], regs[1], len(a), len(b)) - true) < 0.12
 
 
+def _bucket(rows, limit=8):
+    """What a bucket of (component, size, registers, hashes) offers; nodes are 0, 1, ..."""
+    key = near_dedup.band_keys(rows[0][2][None, :])[0].view(np.int64)[0]
+    columns = [
+        pa.array([key] * len(rows), pa.int64()),
+        pa.array(range(len(rows)), pa.int64()),
+        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([r[1] for r in rows], pa.int64()),
+        pa.array([r[2].tobytes() for r in rows], pa.binary()),
+        pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary()),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "node", "component", "n", "registers", "hashes"])
+    return sorted(tuple(r.values()) for out in near_dedup._offer(limit)([batch]) for r in out.to_pylist())
+
+
+def _sharing(registers, equal):
+    """Registers that agree with ``registers`` in ``equal`` places, its first band among them."""
+    other = registers + np.uint16(1)
+    first = np.arange(near_dedup.ROWS) * near_dedup.BANDS
+    places = np.concatenate((first, np.setdiff1d(np.arange(near_dedup.REGISTERS), first)))[:equal]
+    other[places] = registers[places]
+    return other
+
+
+def test_small_sets_need_no_estimate():
+    regs, hashes = np.arange(near_dedup.REGISTERS, dtype=np.uint16), np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    far = _sharing(regs, near_dedup.ROWS)
+    # 80 of 100, 79 of 99 and a set too small to reach the threshold.
+    rows = [(0, 100, regs, hashes), (1, 80, far, hashes[:80]), (2, 79, far, hashes[:79]), (3, 20, far, hashes[:20])]
+    assert (0, 1, True) in _bucket(rows) and (0, 2, True) not in _bucket(rows)
+    assert not any(3 in pair[:2] for pair in _bucket(rows))
+
+
+def test_estimates_keep_five_standard_errors():
+    regs = np.arange(near_dedup.REGISTERS, dtype=np.uint16)
+    rows = [(k, 10**6, r, None) for k, r in enumerate((regs, _sharing(regs, 174), _sharing(regs, 172)))]
+    assert [p for p in _bucket(rows) if 0 in p[:2]] == [(0, 1, False)]
+
+
+def test_verification_uses_no_estimate(monkeypatch):
+    """Sets at hand decide, whatever their registers say."""
+    monkeypatch.setattr(near_dedup, "registers", lambda hashes, bounds: hashes[None, : near_dedup.REGISTERS])
+    monkeypatch.setattr(near_dedup, "estimate", lambda *_: 0.0)
+    text = [zstandard.compress(" ".join(f"w{i}" for i in range(n)).encode()) for n in (100, 90, 50)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0, 0]), pa.array([1, 2]), pa.array([text[0]] * 2), pa.array(text[1:])], names=["one", "two", "p1", "p2"]
+    )
+    assert [out.to_pydict() for out in near_dedup._verified(2)([batch])] == [{"one": [0], "two": [1]}]
+
+
 # --- decontamination ------------------------------------------------------
 
 
