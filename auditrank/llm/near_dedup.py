@@ -37,7 +37,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditrank.llm.components import components
@@ -58,6 +58,8 @@ LIMITS = (8, None)
 SMALL_SET = 512
 #: Standard errors below the threshold from which an estimate rules a pair out.
 SIGMAS = 5.0
+#: Nodes of a block, about, of a bucket that is compared across components.
+BLOCK_NODES = 1_024
 #: Sets whose shared hashes are counted against a part of the outside at once.
 COUNTED = 256
 #: Hashes of sets that a verifying worker remembers.
@@ -265,37 +267,40 @@ def _offer(limit: int | None):
     ``two`` says that it has more.  A pair is
     looked at in the first of its common bands only.
 
-    Rows (key, node, component, n, registers, hashes) come sorted by key; a
-    bucket that still holds several components is in memory at once.
+    Rows (key, left, right, node, component, n, registers, hashes, outside) come
+    sorted by key, left, right: nodes outside the bucket's largest component, of
+    block ``left``, and nodes of block ``right``.  Two blocks are in memory at once.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
+        held: pa.Table | None = None
         for batch in rows(batches):
-            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-            key = table.column(0).to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            parts = [table.column(k).to_numpy() for k in range(3)]
+            cut = int(np.append(0, np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1)[-1])
             if cut:
                 yield from work(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()[0]
+            held = table.slice(cut)
         if held is not None:
-            yield from work(pa.Table.from_batches([held]))
+            yield from work(held)
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, group, size = (table.column(k).to_numpy() for k in range(4))
-        regs = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        sets = [None if x is None else np.frombuffer(x, np.uint64) for x in table.column(5).to_pylist()]
+        key, left, right, node, group, size = (table.column(k).to_numpy() for k in range(6))
+        regs = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [None if x is None else np.frombuffer(x, np.uint64) for x in table.column(7).to_pylist()]
+        from_outside = table.column(8).to_numpy()
         small = size <= SMALL_SET
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        changed = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        start = np.flatnonzero(np.append(True, changed)).tolist()
         sure, open_, more = set(), set(), set()
         for a, b in zip(start, [*start[1:], len(key)]):
-            names, counts = np.unique(group[a:b], return_counts=True)
-            if len(names) == 1:
+            if (group[a:b] == group[a]).all():
                 continue
             bands = band_keys(regs[a:b])
             band = int((bands[0].view(np.int64) == key[a]).argmax())
-            # Every open pair has an end outside the largest component.
-            outside = np.flatnonzero(group[a:b] != names[counts.argmax()])
+            outside, others = np.flatnonzero(from_outside[a:b]), ~from_outside[a:b]
             for part in range(0, len(outside), 64):
                 i = outside[part : part + 64]
                 same = (regs[a + i][:, None, :] == regs[None, a:b, :]).sum(2) / REGISTERS
@@ -307,7 +312,7 @@ def _offer(limit: int | None):
                     100 * np.minimum(one, two) >= THRESHOLD_PERCENT * np.maximum(one, two),
                     same >= THRESHOLD_PERCENT / 100 - margin,
                 )
-                x, y = np.nonzero(fits & (group[a + i][:, None] != group[None, a:b]))
+                x, y = np.nonzero(fits & (group[a + i][:, None] != group[None, a:b]) & others)
                 first = (bands[i[x]] == bands[y]).argmax(1) == band
                 x, y = x[first], y[first]
                 exact = exact[x, y]
@@ -422,8 +427,9 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
             _registers_of(words), "node long, n long, registers binary, hashes binary"
         )
         offered = stage(
-            open_rows.join(sketched, "node").select("key", "node", "component", "n", "registers", "hashes")
-            .repartition("key").sortWithinPartitions("key", "node")
+            open_rows.join(sketched, "node")
+            .select("key", "left", "right", "node", "component", "n", "registers", "hashes", "outside")
+            .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
             .mapInArrow(_offer(limit), "one long, two long, sure boolean").distinct(),
             "pairs",
         )
@@ -440,14 +446,38 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
 
 
 def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of buckets that still hold several components."""
+    """Rows (key, left, right, node, component, outside) of buckets that still hold
+    several components.
+
+    Every open pair has an end outside the bucket's largest component.  Those
+    nodes and all nodes are each dealt to blocks of about ``BLOCK_NODES``, and each
+    block of the one meets each of the other.
+    """
     named = shared.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    several = named.groupBy("key").agg(
-        F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_n")
+    counted = named.groupBy("key", "component").agg(F.count("*").alias("_n"))
+    several = counted.groupBy("key").agg(
+        F.count("*").alias("_components"), F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_top")
     )
     # A bucket of two nodes had its only pair tested in the first round.
-    several = several.where((F.col("_a") != F.col("_b")) & (F.col("_n") > 2)).select("key")
-    return stage(named.join(several, "key", "left_semi"), "bands")
+    several = several.where("_components > 1 AND _all > 2").select(
+        "key",
+        F.col("_top.component").alias("_largest"),
+        F.ceil((F.col("_all") - F.col("_top._n")) / BLOCK_NODES).alias("_lefts"),
+        F.ceil(F.col("_all") / BLOCK_NODES).alias("_rights"),
+    )
+    rows_ = stage(named.join(several, "key"), "bands")
+    salt = F.xxhash64("node", F.lit(3))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    lefts = rows_.where("component != _largest").select(
+        "key", F.pmod(salt, "_lefts").alias("left"), every("_rights").alias("right"), "node", "component", F.lit(True).alias("outside")
+    )
+    rights = rows_.select(
+        "key", every("_lefts").alias("left"), F.pmod(salt, "_rights").alias("right"), "node", "component", F.lit(False).alias("outside")
+    )
+    return lefts.unionByName(rights)
 
 
 def report(docs: DataFrame, words: int = SHINGLE) -> DataFrame:

@@ -158,19 +158,23 @@ def test_estimates_follow_similarity():
         assert abs(near_dedup.estimate(regs[0], regs[1], len(a), len(b)) - true) < 0.12
 
 
-def _bucket(rows, limit=8):
-    """What a bucket of (component, size, registers, hashes) offers; nodes are 0, 1, ..."""
+def _bucket(rows, limit=8, rows_of_batch=1):
+    """What a bucket of (component, size, registers, hashes) offers; nodes are 0,
+    1, ..., all but those of component 0 outside of the largest one."""
     key = near_dedup.band_keys(rows[0][2][None, :])[0].view(np.int64)[0]
+    both = [(n, *r, True) for n, r in enumerate(rows) if r[0]] + [(n, *r, False) for n, r in enumerate(rows)]
     columns = [
-        pa.array([key] * len(rows), pa.int64()),
-        pa.array(range(len(rows)), pa.int64()),
-        pa.array([r[0] for r in rows], pa.int64()),
-        pa.array([r[1] for r in rows], pa.int64()),
-        pa.array([r[2].tobytes() for r in rows], pa.binary()),
-        pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary()),
+        pa.array([key] * len(both), pa.int64()),
+        *[pa.array([0] * len(both), pa.int64())] * 2,
+        *[pa.array([r[k] for r in both], pa.int64()) for k in range(3)],
+        pa.array([r[3].tobytes() for r in both], pa.binary()),
+        pa.array([None if r[4] is None else r[4].tobytes() for r in both], pa.binary()),
+        pa.array([r[5] for r in both], pa.bool_()),
     ]
-    batch = pa.RecordBatch.from_arrays(columns, names=["key", "node", "component", "n", "registers", "hashes"])
-    return sorted(tuple(r.values()) for out in near_dedup._offer(limit)([batch]) for r in out.to_pylist())
+    names = ["key", "left", "right", "node", "component", "n", "registers", "hashes", "outside"]
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    batches = [batch.slice(k, rows_of_batch) for k in range(0, len(both), rows_of_batch)]
+    return sorted(tuple(r.values()) for out in near_dedup._offer(limit)(batches) for r in out.to_pylist())
 
 
 def _sharing(registers, equal):
@@ -197,6 +201,43 @@ def test_estimates_keep_five_standard_errors():
     assert [p for p in _bucket(rows) if 0 in p[:2]] == [(0, 1, False)]
 
 
+def test_a_bucket_over_many_batches():
+    regs, hashes = np.arange(near_dedup.REGISTERS, dtype=np.uint16), np.arange(1, 101, dtype=np.uint64) << np.uint64(40)
+    rows = [(k, 100, regs, hashes) for k in range(6)]
+    assert {p[:2] for p in _bucket(rows)} >= {(0, k) for k in range(1, 6)}
+    assert _bucket(rows) == _bucket(rows, rows_of_batch=100)
+
+
+def test_an_open_bucket_is_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 10)
+    shared = spark.range(95).selectExpr("7L AS key", "id AS node", "id AS place")
+    # 80 nodes of one component, 12 of another and three alone.
+    label = spark.range(92).selectExpr("id AS node", "if(id < 80, 0L, 80L) AS component")
+    dealt = near_dedup._open(shared, label).collect()
+    units, met = {}, {}
+    for r in dealt:
+        units.setdefault((r.left, r.right), ([], []))[0 if r.outside else 1].append(r.node)
+    assert len(units) == 2 * 10 and max(len(a) + len(b) for a, b in units.values()) < 50
+    for a, b in units.values():
+        for pair in ((x, y) for x in a for y in b):
+            met[pair] = met.get(pair, 0) + 1
+    assert met == {(x, y): 1 for x in range(80, 95) for y in range(95)}
+
+
+@pytest.mark.parametrize("nodes", [3, 50])
+def test_near_dedup_in_blocks_equals_brute_force(spark, monkeypatch, nodes):
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(60)] = f"v{rng.randrange(300)}"
+        rows.append((i, " ".join(own)))
+    assert _components(spark.createDataFrame(rows, DOC), 2) == _brute_components(rows, 2)
+
+
 def test_verification_uses_no_estimate(monkeypatch):
     """Sets at hand decide, whatever their registers say."""
     monkeypatch.setattr(near_dedup, "registers", lambda hashes, bounds: hashes[None, : near_dedup.REGISTERS])
