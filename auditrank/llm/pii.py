@@ -10,7 +10,7 @@ Everything is one projection of SQL expressions: texts without a hit are passed
 on after one regular-expression test, nothing is shuffled.
 
 Defined results: a NULL text stays NULL.  Values that fail their check stay as
-they are.  Slashed and dotted dates are read day first, and month first only if
+they are.  An IBAN has the length of its country, whatever follows it.  Slashed and dotted dates are read day first, and month first only if
 that gives no date.  Dates outside 1800-2199 stay.  A text of any length is
 searched whole.  Repeated rows get the same text; other columns pass through.
 """
@@ -27,6 +27,31 @@ DEMO_KEY = "demo key, replace"
 ROUNDS = 8
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Length of an IBAN by country: the registry, and countries that use one without it.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR",
+    27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+_IBAN_OF = "|".join(
+    rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}" for length, countries in IBAN_LENGTHS.items()
+)
+_ASSIGNED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
 #: Formats in the order in which they are tried at a place of the text.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -36,7 +61,8 @@ FORMATS = {
     "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": r"(?<![0-9A-Za-z+(-])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "card": r"(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}(?<gap>[ -])(?:[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{4}|[0-9]{6}\k<gap>[0-9]{5}))(?![0-9A-Za-z]|[-.][0-9])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![0-9A-Za-z])",
+    # Other countries take all that may belong to the number, up to the next IBAN.
+    "iban": rf"(?<![0-9A-Za-z])(?:{_IBAN_OF}|(?!{_ASSIGNED})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_IBAN_OF})(?![0-9A-Za-z])) ?[A-Z0-9]){{11,30}})(?![0-9A-Za-z])",
 }
 
 

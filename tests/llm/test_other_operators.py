@@ -235,6 +235,24 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert _replaced(spark, []) == []
 
 
+def test_an_iban_ends_where_its_country_says(spark):
+    ibans = ["DE89370400440532013000", "GB82WEST12345698765432", "FR1420041010050500013M02606", "NO9386011117947", "DE89 3704 0044 0532 0130 00"]
+    after = ["BIC COBADEFFXXX", "EUR 500", "I paid", "2024", "ABC", "1", "GB82WEST12345698765432", "2024-02-29", "4111111111111111"]
+    alone = [new for new, _ in _replaced(spark, ibans)]
+    texts = [f"{iban} {tail}" for iban in ibans for tail in after]
+    also = {tail: _replaced(spark, [tail])[0] for tail in after}
+    for k, (new, n) in enumerate(_replaced(spark, texts)):
+        (i, tail) = divmod(k, len(after))
+        assert (new, n) == (f"{alone[i]} {also[after[tail]][0]}", 1 + also[after[tail]][1]), texts[k]
+    for old, new in zip(ibans, alone):
+        compact = new.replace(" ", "")
+        assert new != old and len(new) == len(old) and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    before = _replaced(spark, [f"{code}12ABCDEFGHIJKLM {ibans[3]}" for code in ("XY", "GB")])
+    assert before == [(f"{code}12ABCDEFGHIJKLM {alone[3]}", 1) for code in ("XY", "GB")]
+    # A token stuck to the number makes it another one.
+    assert _replaced(spark, ["DE89370400440532013000X", "DE893704004405320130001"]) == [("DE89370400440532013000X", 0), ("DE893704004405320130001", 0)]
+
+
 def test_pseudonyms_are_one_to_one(spark):
     dates = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.expr("cast(date_add(date'1990-01-01', cast(id AS int)) AS string)").alias("text"))
     out = pii.pseudonymised(dates)
