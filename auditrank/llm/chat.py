@@ -6,10 +6,11 @@ to the one before is its turn's span; an output that does not begin with the one
 before shows a template that rewrites history.  Where the text of an assistant
 turn lies is told by rendering the last turn once empty and once with a probe.
 
-Conversations go in segments of ``SEGMENT`` turns, each rendered after the
-``CONTEXT`` turns before it, so a conversation with a third of all rows is spread
-over tasks and the work is linear.  A template may therefore look back
-``CONTEXT`` turns; a rewrite is seen within a segment and its context.
+Unless told otherwise each prefix is rendered whole, so a conversation is one
+segment and the work grows with the square of its turns.  A template known to look
+back at most ``looks_back`` turns is rendered in segments of ``SEGMENT`` turns,
+each after so many turns before it: a conversation with a third of all rows is
+spread over tasks and the work is linear.
 
 Defined results: a NULL text or role is empty.  Turns are ordered by turn (NULL
 first), then role, then text; repeated rows are turns of their own.  Rows with a
@@ -34,7 +35,8 @@ from auditrank.session import stage
 Turns = list[tuple[str, str]]
 
 SEGMENT = 64
-CONTEXT = 2
+#: Turns before a turn that :func:`render` looks at.
+LOOKS_BACK = 0
 #: Role whose texts are learned from.
 LEARNED = "assistant"
 #: A character that no template holds.
@@ -86,10 +88,16 @@ def spans(template: Callable[[Turns], str], context: Turns, turns: Turns) -> tup
     return before[shift:], [tuple(x - shift for x in p) for p in places], rewritten
 
 
-def format_conversations(conversations: DataFrame, template: Callable[[Turns], str] = render) -> DataFrame:
+def format_conversations(
+    conversations: DataFrame, template: Callable[[Turns], str] = render, looks_back: int | None = None
+) -> DataFrame:
     """(conv_id, segment, formatted, spans, rewritten): spans has for each turn
     role, first, last, text_first, text_last within ``formatted`` (ends excluded);
-    ``rewritten`` lists turns at which the template changed what it gave before."""
+    ``rewritten`` lists turns at which the template changed what it gave before.
+
+    ``looks_back`` is a promise: how a turn is rendered, or changes what was given
+    before, depends on that many turns before it at most.  None promises nothing;
+    then each conversation is one segment."""
     clean = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -100,11 +108,13 @@ def format_conversations(conversations: DataFrame, template: Callable[[Turns], s
     counted = stage(numbered(clean, order, "n"), "turns")
     starts = counted.groupBy(F.col("conv_id").alias("c")).agg(F.min("n").alias("start"))
     placed = counted.join(starts, F.col("conv_id").eqNullSafe(F.col("c"))).withColumn("at", F.col("n") - F.col("start"))
-    segment = F.floor(F.col("at") / SEGMENT)
-    # The last turns of a segment are the context of the next one as well.
-    both = F.when(F.col("at") % SEGMENT >= SEGMENT - CONTEXT, F.array(segment, segment + 1)).otherwise(F.array(segment))
+    if looks_back is None:
+        segments = F.array(F.lit(0).cast("long"))
+    else:
+        # The last turns of a segment are the context of later ones as well.
+        segments = F.sequence(F.floor(F.col("at") / SEGMENT), F.floor((F.col("at") + looks_back) / SEGMENT))
     grouped = (
-        placed.select("conv_id", F.explode(both).alias("segment"), F.struct("at", "role", "text").alias("turn"))
+        placed.select("conv_id", F.explode(segments).alias("segment"), F.struct("at", "role", "text").alias("turn"))
         .groupBy("conv_id", "segment")
         .agg(F.array_sort(F.collect_list("turn")).alias("turns"))
         .where(F.element_at("turns", -1)["at"] >= F.col("segment") * SEGMENT)
@@ -177,7 +187,7 @@ _DIGEST = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "f
 
 def report(conversations: DataFrame) -> DataFrame:
     """One row per conversation, read back from the formatted text."""
-    formatted = stage(format_conversations(conversations), "formatted")
+    formatted = stage(format_conversations(conversations, render, LOOKS_BACK), "formatted")
     return (
         formatted.select("conv_id", "formatted", "spans", "segment")
         .repartition("conv_id").sortWithinPartitions("conv_id", "segment")

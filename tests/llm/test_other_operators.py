@@ -188,6 +188,35 @@ def test_templates_that_rewrite_history_are_found():
     assert [text[a:b] for _, _, a, b in places] == ["q", "long", "again", "b"]
 
 
+def _moves_system(turns):
+    """Puts the first text into the last user turn and numbers the turns."""
+    last = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=-1)
+    return "".join(f"{i}[{r}]{turns[0][1] if i == last else ''}{t};" for i, (r, t) in enumerate(turns))
+
+
+def _blanks_first(turns):
+    """Drops the first text once there are more than a hundred turns."""
+    return "".join(f"[{r}]{'' if i == 0 and len(turns) > 100 else t};" for i, (r, t) in enumerate(turns))
+
+
+def _recalls(turns):
+    """Says after each text what was said seventy turns before."""
+    return "".join(f"[{r}]{t}<{turns[i - 70][1] if i >= 70 else ''}>;" for i, (r, t) in enumerate(turns))
+
+
+@pytest.mark.parametrize(
+    "template, looks_back, rewritten",
+    [(_moves_system, None, list(range(2, 150, 2))), (_blanks_first, None, [100]), (_recalls, None, []), (_recalls, 70, []), (chat.render, 0, [])],
+)
+def test_long_conversations_are_rendered_after_all_that_counts(spark, template, looks_back, rewritten):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text{i}") for i in range(150)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df, template, looks_back).orderBy("segment").collect()
+    assert "".join(r.formatted for r in out) == template(turns)
+    assert [k for r in out for k in r.rewritten] == rewritten
+    assert len(out) == (1 if looks_back is None else 3)
+
+
 # --- pseudonyms -----------------------------------------------------------
 
 
