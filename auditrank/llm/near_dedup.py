@@ -3,7 +3,7 @@
 A document is the set of its word shingles (words split at white space, A-Z as
 a-z).  Two documents are linked if 100 * shared >= 80 * united.
 
-1. Equal sets are folded to the smallest doc_id before anything is compared, so
+1. Equal sets are folded to one node before anything is compared, so
    thousands of copies count as one node.
 2. A set's hashes fall into ``REGISTERS`` buckets.  A register keeps the least
    value of its bucket as leading-zero count (6 bits) and mantissa (10 bits); an
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from auditrank.llm.components import components
 from auditrank.llm.frames import packed, rows, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, per_row, texts
+from auditrank.operators.ordering import numbered
 from auditrank.session import stage
 
 THRESHOLD_PERCENT = 80
@@ -158,24 +159,26 @@ def estimate(one: np.ndarray, two: np.ndarray, size_one: int, size_two: int) ->
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, keys) of every row: size and hashes of its set
-    and the keys of its bands; all but n are NULL for an empty set."""
+    """(doc_id, body, n, set_a, set_b, keys) of every row: hash of its text, size
+    and hashes of its set and the keys of its bands; of an empty set the last three
+    are NULL."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             for first, last, data, cuts in blocks(texts(batch.column(1))):
                 hashes, bounds = shingle_sets(data, cuts, words)
                 size = np.diff(bounds)
-                columns = [batch.column(0).slice(first, last - first), pa.array(size, pa.int64())]
+                given = [batch.column(k).slice(first, last - first) for k in (0, 2)]
+                columns = [*given, pa.array(size, pa.int64())]
                 for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
                     total = np.append(np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt))))
                     columns.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64), mask=size == 0))
                 keys = band_keys(registers(hashes, bounds)).view(np.int64)
                 starts = np.append(0, np.cumsum(np.where(size > 0, BANDS, 0))).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[size > 0].ravel())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "n", "set_a", "set_b", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, body long, n long, set_a long, set_b long, keys array<long>")
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,13 +391,21 @@ def _verified(words: int):
 
 
 def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(sets, labels): every row's set with its node, and (node, component) of the
-    linked nodes.  A node stands for all rows of one set."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(sets, labels): every row's set with its node and the node's doc_id, and (node,
+    component) of the linked nodes, component being the smallest doc_id.
+
+    A node stands for all rows of one set.  Nodes are numbered by their smallest
+    doc_id, so the smallest node of a component has its smallest doc_id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("body"))
     sets = stage(_sets(docs, words), "shingle-sets")
     known = sets.where(F.col("set_a").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = stage(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")), "nodes")
-    keys = known.join(nodes, (known["set_a"] == nodes["set_a"]) & (known["set_b"] == nodes["set_b"]) & (known["doc_id"] == nodes["node"]))
+    # Of the rows of a set the least stands for it; any of its equals will do.
+    least = known.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "body")).alias("_row"))
+    least = least.select("set_a", "set_b", F.col("_row.doc_id").alias("node_doc"), F.col("_row.body").alias("node_body"))
+    nodes = stage(numbered(least, [F.col(c) for c in ("node_doc", "set_a", "set_b")], "node"), "nodes")
+    same = ["set_a", "set_b"]
+    keys = known.join(nodes, same).where("doc_id = node_doc AND body = node_body").dropDuplicates(["node"])
     shared = stage(
         keys.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
         .mapInArrow(_shared, "key long, node long, place long"),
@@ -402,9 +413,12 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     )
     members = shared.select("node").distinct()
     carried = stage(
-        packed(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("node"), "text")).join(members, "node", "left_semi"), "texts"
+        packed(docs.where("text IS NOT NULL"))
+        .join(nodes.join(members, "node", "left_semi"), (F.col("doc_id") == F.col("node_doc")) & (F.col("body") == F.col("node_body")))
+        .select("node", "text").dropDuplicates(["node"]),
+        "texts",
     )
-    of_node = known.select("doc_id", "set_a", "set_b").join(nodes, ["set_a", "set_b"])
+    of_node = known.select("doc_id", *same).join(nodes, same)
     first = of_node.groupBy("doc_id").agg(F.min("node").alias("one"), F.max("node").alias("last")).where("one != last")
     twins = of_node.join(first, "doc_id").where("node != one").select("one", F.col("node").alias("two"))
     found = stage(twins, "links")
@@ -442,7 +456,8 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
         label = components(found)
         if offered.where("two IS NULL").isEmpty():
             break
-    return sets.drop("keys").join(nodes, ["set_a", "set_b"], "left"), label
+    label = label.join(nodes.select(F.col("node").alias("component"), F.col("node_doc").alias("_doc")), "component")
+    return sets.drop("keys", "body").join(nodes.drop("node_body"), same, "left"), label.select("node", F.col("_doc").alias("component"))
 
 
 def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
@@ -484,7 +499,7 @@ def report(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sets, label = links(docs, words)
     out = sets.join(label, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node_doc", "doc_id").alias("component_id")
     )
     return out.withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

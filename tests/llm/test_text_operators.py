@@ -148,6 +148,16 @@ def test_near_dedup_of_odd_rows(spark):
     assert near_dedup.report(spark.createDataFrame([], DOC)).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_near_dedup_links_every_text_of_a_doc_id(spark, turned):
+    """Two texts under one doc_id, which is the least of both sets; each has a near copy."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (1, one), (4, two + " more"), (5, one + " more"), (6, two.upper()), (7, "alone here")]
+    found = near_dedup.report(spark.createDataFrame(rows[::-1] if turned else rows, DOC), 2).collect()
+    assert len(found) == 7
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), (4, 1, False), (5, 1, False), (6, 1, False), (7, 7, True)}
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
