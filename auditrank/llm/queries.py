@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditrank.llm import bpe, chat, decontaminate, line_dedup, near_dedup, pii, quality, toxicity, vptree, warc
+from auditrank.llm import (
+    bpe,
+    chat,
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    near_dedup,
+    pii,
+    quality,
+    toxicity,
+    vptree,
+    warc,
+)
 from auditrank.llm.frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +72,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"), words=2)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damaged(conversations), conversations)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +98,8 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 
@@ -144,4 +168,80 @@ least_id AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id,
        doc_id = least(doc_id, coalesce(other, doc_id)) AS kept
 FROM doc_words LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)""",
+    "op12_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(folded) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded
+      FROM documents)
+WINDOW same AS (PARTITION BY folded)""",
+    # The search for edits as a recursion from the last row back to the first: f0, fs, fu and
+    # fa are the best (cost, audit, repaired text) from a row on, by what the turns before end with.
+    "op13_conversation_repair": """
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS name
+  FROM conversations),
+fated AS (
+  SELECT *, xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(name, lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(0 AS BIGINT) FOR i IN range(8)]),
+             lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END))) % 20 AS fate
+  FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fated, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) WHERE fate <> 0),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS ini
+  FROM damaged),
+faulty AS (
+  SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+         row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 AS repeated,
+         NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open_end,
+         lag(ini) OVER (PARTITION BY conv ORDER BY pos) AS before
+  FROM placed),
+turns AS (
+  SELECT *, blank OR repeated AS goes, CASE WHEN open_end THEN 1 ELSE 0 END AS extra, role || ':' || text AS line FROM faulty),
+search AS (
+  SELECT conv, max(pos) AS pos,
+         {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS f0, {'c': 4, 'a': 'II', 't': ['user:', 'assistant:']} AS fs,
+         {'c': 2, 'a': 'I', 't': ['assistant:']} AS fu, {'c': 0, 'a': '', 't': CAST([] AS VARCHAR[])} AS fa
+  FROM turns GROUP BY conv
+  UNION ALL
+  SELECT conv, pos,
+         list_min([g0, iu, ia2]), list_min([gs, iu, ia2]), list_min([gu, ia, iu2]), list_min([ga, iu, ia2])
+  FROM (
+    SELECT conv, pos, g0, gs, gu, ga,
+           {'c': gu.c + 2, 'a': 'I' || gu.a, 't': ['user:'] || gu.t} AS iu,
+           {'c': ga.c + 2, 'a': 'I' || ga.a, 't': ['assistant:'] || ga.t} AS ia,
+           {'c': ga.c + 4, 'a': 'II' || ga.a, 't': ['user:', 'assistant:'] || ga.t} AS ia2,
+           {'c': gu.c + 4, 'a': 'II' || gu.a, 't': ['assistant:', 'user:'] || gu.t} AS iu2
+    FROM (
+      SELECT s.conv, s.pos - 1 AS pos,
+        list_min([{'c': f0.c + 3, 'a': 'D' || f0.a, 't': f0.t}]
+          || CASE WHEN goes THEN [] ELSE [{'c': fu.c + 2 + extra, 'a': 'R' || fu.a, 't': ['user:' || text] || fu.t}] END
+          || CASE WHEN goes OR ini <> 's' THEN [] ELSE [{'c': fs.c + extra, 'a': 'K' || fs.a, 't': [line] || fs.t}] END
+          || CASE WHEN goes OR ini <> 'u' THEN [] ELSE [{'c': fu.c + extra, 'a': 'K' || fu.a, 't': [line] || fu.t}] END) AS g0,
+        list_min([{'c': fs.c + 3, 'a': 'D' || fs.a, 't': fs.t}]
+          || CASE WHEN goes THEN [] ELSE [{'c': fu.c + 2 + extra, 'a': 'R' || fu.a, 't': ['user:' || text] || fu.t}] END
+          || CASE WHEN goes OR ini <> 'u' THEN [] ELSE [{'c': fu.c + extra, 'a': 'K' || fu.a, 't': [line] || fu.t}] END) AS gs,
+        list_min([{'c': fu.c + 3, 'a': 'D' || fu.a, 't': fu.t}]
+          || CASE WHEN goes THEN [] ELSE [{'c': fa.c + 2 + extra, 'a': 'R' || fa.a, 't': ['assistant:' || text] || fa.t}] END
+          || CASE WHEN goes OR ini <> 'a' THEN [] ELSE [{'c': fa.c + extra, 'a': 'K' || fa.a, 't': [line] || fa.t}] END) AS gu,
+        list_min([{'c': fa.c + 3, 'a': 'D' || fa.a, 't': fa.t}]
+          || CASE WHEN goes THEN [] ELSE [{'c': fu.c + 2 + extra, 'a': 'R' || fu.a, 't': ['user:' || text] || fu.t}] END
+          || CASE WHEN goes OR ini <> 'u' THEN [] ELSE [{'c': fu.c + extra, 'a': 'K' || fu.a, 't': [line] || fu.t}] END) AS ga
+      FROM search s JOIN turns r ON r.conv = s.conv AND r.pos = s.pos))),
+counted AS (
+  SELECT conv, any_value(conv_id) AS id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (repeated AND NOT blank) AS duplicate,
+         count(*) FILTER (open_end AND NOT goes) AS truncated,
+         count(*) FILTER (pos > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv)
+SELECT DISTINCT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(f0.c, 0) AS BIGINT) AS cost,
+       coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.t, chr(10)), '')) AS repaired_sha256
+FROM conversations c LEFT JOIN counted n ON n.id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN search s ON s.conv = n.conv AND s.pos = 0""",
 }
