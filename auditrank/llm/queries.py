@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from auditrank.llm import (
+    alignment,
     bpe,
     chat,
     conversation_repair,
@@ -25,11 +26,11 @@ from auditrank.llm.frames import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def vocabulary_path() -> str:
-    """The public tokenizer file that op4 and the pipeline use unless told otherwise."""
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer file; by default the one that op4 and the pipeline use."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.report(table(spark, sf_dir, "documents"), words=2)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), *files)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
