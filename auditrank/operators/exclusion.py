@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from auditrank.params import Excluded
 
@@ -26,5 +26,8 @@ def without_excluded(df: DataFrame, key: str, excluded: Excluded) -> DataFrame:
         raise ValueError("the exclusion list must not hold NULL")
     if not ids:
         return df
-    table = df.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField(key, df.schema[key].dataType)]))
-    return df.where(F.col(key).isNotNull()).join(table, key, "left_anti")
+    # An Arrow table becomes a local relation, whose size Spark knows: a list that is
+    # small enough is broadcast by Spark's own rule and the rows stay where they are.
+    listed = df.sparkSession.createDataFrame(pa.table({key: pa.array(ids)}))
+    listed = listed.select(F.col(key).cast(df.schema[key].dataType).alias(key))
+    return df.where(F.col(key).isNotNull()).join(listed, key, "left_anti")

@@ -1,14 +1,19 @@
 """Isolation Forest: sampling, fitting and scoring as Spark jobs.
 
 Follows the paper of Liu, Ting and Zhou (2008): each tree isolates a small
-random sample by random cuts, and rows with short paths are unusual.  Rows are
-sampled per tree by a hash of the key, trees grow in parallel as grouped tasks,
+random sample by random cuts, and rows with short paths are unusual.  Samples
+follow from hashes of the key, trees grow in parallel as grouped tasks,
 and the forest, whose size depends on its settings alone, is sent to all
 executors to score rows in Arrow batches.
+
+Nothing is drawn from a generator with a state: each draw is the beginning of
+an MD5 of what it is for (:func:`draw`), so samples and trees can be made in any
+order, by any engine that has MD5, and come out the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator, Mapping, Sequence
@@ -17,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +33,12 @@ from auditrank import fixed_values as fv
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EULER = 0.5772156649015329
-_OVERSAMPLE = 2.0
-_HASH_STEPS = 1 << 53
+_OVERSAMPLE = 1.2
+_HASH_DIGITS = 13
+_HASH_STEPS = 1 << 4 * _HASH_DIGITS
+#: Path lengths are multiples of this, so their sums are exact in any order and
+#: rows with equal paths tie.
+_PATH_STEP = 2.0**-30
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -55,19 +64,25 @@ def average_path(sizes: np.ndarray) -> np.ndarray:
     big = sizes > 2
     n = sizes[big]
     out[big] = 2.0 * (np.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
-    return out
+    return np.round(out / _PATH_STEP) * _PATH_STEP
+
 
+def draw(*purpose: int | str) -> float:
+    """A number in [0, 1) that depends on its purpose only."""
+    text = "|".join(map(str, purpose)).encode()
+    return int(hashlib.md5(text).hexdigest()[:_HASH_DIGITS], 16) / _HASH_STEPS
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
+
+def grow_tree(x: np.ndarray, seed: int, tree: int) -> list[tuple]:
     """Nodes (node, feature, threshold, left, right, size, depth) of one tree.
 
-    Leaves have feature -1.  A cut is uniform between the smallest and largest
-    value of a feature that still varies in the node.
+    The children of node n are 2n + 1 and 2n + 2; leaves have feature -1.  A cut
+    is uniform between the smallest and largest value of a feature that still
+    varies in the node.  The order of the rows does not matter.
     """
     limit = math.ceil(math.log2(max(len(x), 2)))
     nodes: list[tuple] = []
     waiting = [(0, np.arange(len(x)), 0)]
-    used = 1
     while waiting:
         node, rows, depth = waiting.pop()
         low, high = x[rows].min(axis=0), x[rows].max(axis=0)
@@ -75,13 +90,12 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         if depth >= limit or len(rows) <= 1 or not len(varying):
             nodes.append((node, -1, 0.0, -1, -1, len(rows), depth))
             continue
-        feature = int(rng.choice(varying))
-        cut = rng.uniform(low[feature], high[feature])
+        feature = int(varying[min(int(draw(seed, tree, node, "feature") * len(varying)), len(varying) - 1)])
+        cut = low[feature] + draw(seed, tree, node, "cut") * (high[feature] - low[feature])
         if cut >= high[feature]:
             cut = low[feature]
         goes_left = x[rows, feature] <= cut
-        left, right = used, used + 1
-        used += 2
+        left, right = 2 * node + 1, 2 * node + 2
         nodes.append((node, feature, float(cut), left, right, len(rows), depth))
         waiting.append((right, rows[~goes_left], depth + 1))
         waiting.append((left, rows[goes_left], depth + 1))
@@ -128,33 +142,45 @@ class Forest:
         return -np.exp2(-self.path_sums(x, marks) / (np.asarray(marks) * normal))
 
 
-def _uniform_hash(key: str, seed: int, tree: Column) -> Column:
-    """Hash of key, seed and tree as a double in [0, 1)."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed), tree), F.lit(_HASH_STEPS)) / F.lit(float(_HASH_STEPS))
+def _draw_of_row(key: str, seed: int, turn: Column) -> Column:
+    """:func:`draw` of key, seed and round, times the number of steps."""
+    text = F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)), turn.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, _HASH_DIGITS), 16, 10).cast("long")
 
 
 def tree_samples(df: DataFrame, key: str, settings: ForestSettings, rows: int, slack: float) -> DataFrame:
-    """About ``slack`` times the wanted sample per tree, as rows (tree, hash, …).
+    """The samples of all trees, as rows (tree, ...).
 
-    Each tree draws on its own; the rows that leave this step number about
-    trees x sample size x slack, whatever the size of ``df``.
+    A round puts the rows in the order of a hash and deals them out, ``size`` to a
+    tree, so a table with more than trees x size rows hashes each row once; a smaller
+    one takes as many rounds as it needs.  Only rows whose hash is below a share can
+    be among the first that are dealt; ``slack`` is how many times that share is taken.
+    At most trees x size rows are put in order, whatever the size of ``df``.
     """
-    share = min(1.0, slack * settings.sample_size(rows) / rows)
+    size = settings.sample_size(rows)
+    per_round = max(1, rows // size)
+    rounds = math.ceil(settings.trees / per_round)
+    dealt = min(per_round, settings.trees) * size
+    share = min(1.0, slack * dealt / rows)
     draws = F.transform(
-        F.sequence(F.lit(0), F.lit(settings.trees - 1)),
-        lambda t: F.struct(t.alias("tree"), _uniform_hash(key, settings.seed, t).alias("hash")),
-    )
-    drawn = F.filter(draws, lambda d: d["hash"] < F.lit(share)) if share < 1.0 else draws
-    return df.select("*", F.explode(drawn).alias("_draw")).select(
-        F.col("_draw.tree").alias("tree"), F.col("_draw.hash").alias("hash"), *df.columns
+        F.sequence(F.lit(0), F.lit(rounds - 1)),
+        lambda r: F.struct(r.alias("round"), _draw_of_row(key, settings.seed, r).alias("hash")),
     )
+    if share < 1.0:
+        draws = F.filter(draws, lambda d: d["hash"] < F.lit(int(share * _HASH_STEPS)))
+    drawn = df.select(*df.columns, F.explode(draws).alias("_draw"))
+    # A limit on the row number is applied before the shuffle too.
+    order = Window.partitionBy("_draw.round").orderBy("_draw.hash", key)
+    placed = drawn.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= dealt)
+    tree = F.col("_draw.round") * per_round + F.floor((F.col("_place") - 1) / size)
+    return placed.select(tree.cast("int").alias("tree"), *df.columns).where(F.col("tree") < settings.trees)
 
 
 def fit_forest(df: DataFrame, key: str, features: Sequence[str], settings: ForestSettings) -> Forest:
     """Fit on scaled features without NULLs; runs jobs.
 
-    The result does not depend on how ``df`` is partitioned: samples follow
-    from hashes, and each tree sorts its rows before it grows.
+    The result does not depend on how ``df`` is partitioned: samples and cuts
+    follow from hashes.
     """
     features = list(features)
     rows = df.count()
@@ -164,9 +190,7 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], settings: Fores
 
     def grow(keys: tuple, sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(keys[0])
-        chosen = sample.sort_values(["hash", key], kind="mergesort").head(size)
-        rng = np.random.default_rng([seed, tree])
-        nodes = grow_tree(chosen[features].to_numpy(dtype=float), rng)
+        nodes = grow_tree(sample[features].to_numpy(dtype=float), seed, tree)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size", "depth"])
         out.insert(0, "tree", tree)
         return out
@@ -179,7 +203,7 @@ def fit_forest(df: DataFrame, key: str, features: Sequence[str], settings: Fores
         roots = nodes[nodes["node"] == 0]
         if len(roots) == settings.trees and (roots["size"] == size).all():
             return packed(nodes, features, size)
-        slack *= 2
+        slack *= 2  # too few rows below the share, which is unlikely
 
 
 def packed(nodes: pd.DataFrame, features: Sequence[str], sample_size: int) -> Forest:

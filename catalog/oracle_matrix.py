@@ -110,12 +110,79 @@ FEATURES = MATRIX | {
         for v in VARIABLES
     )
     + " FROM numbers n CROSS JOIN medians m",
-    "features_scaled": "SELECT id_cliente, "
+    "features": "SELECT id_cliente, "
     + ", ".join(
-        f"round((COALESCE(n.{v}, m.{v}) - m.{v}) / CASE WHEN r.{v} < 1e-14 THEN 1 ELSE r.{v} END, 6) AS {v}"
-        for v in VARIABLES
+        f"(COALESCE(n.{v}, m.{v}) - m.{v}) / CASE WHEN r.{v} < 1e-14 THEN 1 ELSE r.{v} END AS {v}" for v in VARIABLES
     )
     + " FROM numbers n CROSS JOIN medians m CROSS JOIN ranges r",
+    "features_scaled": "SELECT id_cliente, " + ", ".join(f"round({v}, 6) AS {v}" for v in VARIABLES) + " FROM features",
+}
+
+
+def _uniform(purpose: str) -> str:
+    """A number in [0, 1) from the beginning of an MD5."""
+    return f"CAST('0x' || left(md5({purpose}), 13) AS BIGINT) / 4503599627370496::DOUBLE"
+
+
+def _mean_path(n: str) -> str:
+    return (
+        f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE "
+        f"round((2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329) - 2 * ({n} - 1.0::DOUBLE) / {n}) * 1073741824) / 1073741824 END"
+    )
+
+
+def _forest(name: str, trees: int, sample: int, depth: int) -> dict[str, str]:
+    """All customers sent down all trees of a forest, level by level; ``{name}_paths`` has
+    the length of each path.  A node is cut by the rows of the tree's sample in it."""
+    parts = {
+        f"{name}_sizes": f"""
+SELECT size, greatest(1, n // size) AS per, CAST(ceil(log2(greatest(size, 2))) AS INTEGER) AS deepest
+FROM (SELECT count(*) AS n, least({sample}, count(*)) AS size FROM features)""",
+        f"{name}_dealt": f"""
+SELECT id_cliente, r * per + place // size AS tree
+FROM (SELECT id_cliente, r, row_number() OVER (PARTITION BY r ORDER BY left(md5(id_cliente || '|42|' || r), 13), id_cliente) - 1 AS place
+      FROM features, (SELECT unnest(range({trees})) AS r), {name}_sizes WHERE r * per < {trees}), {name}_sizes
+WHERE place // size < per AND r * per + place // size < {trees}""",
+        f"{name}_rows_0": f"""
+SELECT t.tree, f.id_cliente, 0 AS node, d.tree IS NOT NULL AS sampled
+FROM (SELECT unnest(range({trees})) AS tree) t CROSS JOIN feature_lists f
+LEFT JOIN {name}_dealt d ON d.tree = t.tree AND d.id_cliente = f.id_cliente""",
+    }
+    spans = ", ".join(f"{{'i': {i}, 'low': min({v}), 'high': max({v})}}" for i, v in enumerate(VARIABLES, 1))
+    for level in range(depth + 1):
+        rows, cuts = f"{name}_rows_{level}", f"{name}_cuts_{level}"
+        parts[cuts] = f"""
+SELECT tree, node, n, pick.i AS i, CASE WHEN cut >= pick.high THEN pick.low ELSE cut END AS cut
+FROM (SELECT tree, node, n, pick, pick.low + {_uniform("'42|' || tree || '|' || node || '|cut'")} * (pick.high - pick.low) AS cut
+      FROM (SELECT tree, node, n,
+                   CASE WHEN n > 1 AND {level} < deepest
+                        THEN varying[1 + CAST(floor({_uniform("'42|' || tree || '|' || node || '|feature'")} * len(varying)) AS INTEGER)] END AS pick
+            FROM (SELECT tree, node, n, list_filter(spans, lambda s: s.high > s.low) AS varying
+                  FROM (SELECT tree, node, count(*) AS n, [{spans}] AS spans
+                        FROM {rows} JOIN features USING (id_cliente) WHERE sampled GROUP BY tree, node)), {name}_sizes))"""
+        parts[f"{name}_done_{level}"] = f"""
+SELECT tree, id_cliente, {level} + {_mean_path("n")} AS path FROM {rows} JOIN {cuts} USING (tree, node) WHERE i IS NULL"""
+        parts[f"{name}_rows_{level + 1}"] = f"""
+SELECT tree, id_cliente, 2 * node + CASE WHEN x[i] <= cut THEN 1 ELSE 2 END AS node, sampled
+FROM {rows} JOIN {cuts} USING (tree, node) JOIN feature_lists USING (id_cliente) WHERE i IS NOT NULL"""
+    parts[f"{name}_paths"] = "\nUNION ALL ".join(f"SELECT * FROM {name}_done_{level}" for level in range(depth + 1))
+    return parts
+
+
+def _score(name: str, trees: int) -> str:
+    return f"-pow(2, -sum(path) FILTER (tree < {trees}) / ({trees} * (SELECT {_mean_path('size')} FROM {name}_sizes)))"
+
+
+FOREST = FEATURES | {
+    "feature_lists": f"SELECT id_cliente, [{', '.join(VARIABLES)}] AS x FROM features",
+    **_forest("auto", 500, 256, 8),
+    **_forest("larger", 300, 512, 9),
+    "auto_scores": "SELECT id_cliente, "
+    + ", ".join(f"{_score('auto', n)} AS a{n}" for n in (100, 200, 300, 500))
+    + " FROM auto_paths GROUP BY 1",
+    "larger_scores": f"SELECT id_cliente, {_score('larger', 300)} AS b300 FROM larger_paths GROUP BY 1",
+    "iforest_scores": "SELECT id_cliente, round(a300, 9) AS score_samples FROM auto_scores",
+    "forest_samples": "SELECT id_cliente, a300 AS a FROM auto_scores",
 }
 
 def _leading(matrix: str, rounds: int = 600) -> str:
@@ -199,6 +266,27 @@ FROM (SELECT *, (rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1)
     }
 
 
+FOREST_RANK = FOREST | {**_classify("forest_samples", 9), "iforest_rank": "SELECT * FROM classified"}
+STABILITY = FOREST | {
+    "forest_ranks": "SELECT "
+    + ", ".join(
+        f"row_number() OVER (ORDER BY {c}, id_cliente) AS {c}" for c in ("a100", "a200", "a300", "a500", "b300")
+    )
+    + " FROM auto_scores JOIN larger_scores USING (id_cliente)",
+    "stability": "\nUNION ALL ".join(
+        f"SELECT {trees} AS n_estimators, '{samples}' AS max_samples, "
+        f"round(corr(a300, {r}), 9) AS correlacao_spearman_ranking, "
+        + ", ".join(
+            f"round(count(*) FILTER (a300 <= {k} AND {r} <= {k}) / CAST(greatest(1, count(*) FILTER (a300 <= {k})) AS DOUBLE), 9)"
+            f" AS sobreposicao_top{k}"
+            for k in fv.STABILITY_TOPS
+        )
+        + " FROM forest_ranks"
+        for trees, samples in fv.STABILITY_SETTINGS
+        for r in (f"b{trees}" if samples == "512" else f"a{trees}",)
+    ),
+}
+
 CUSTOMERS = {
     "customer_scores": f"""
 SELECT CAST(1000000000 + c_custkey AS VARCHAR) AS id_cliente, {_STAND_IN.format(n="c_custkey", f=7919)} AS a,
@@ -323,6 +411,9 @@ MATRIX_QUERIES = {
     "feature_medians": (FEATURES, ""),
     "features_scaled": (FEATURES, ""),
     **{name: (COMPONENTS, "") for name in ("pca_projection", "pca_variance", "chart_pca")},
+    "iforest_scores": (FOREST, ""),
+    "iforest_rank": (FOREST_RANK, ""),
+    "stability": (STABILITY, ""),
     **{name: (REPORTS, "") for name in (
         "test_summary", "test_correlation", "sensitivity", "chart_flag_counts")},
     **{name: (CUSTOMERS, "") for name in ("rank_first", "rank_pct_avg", "priority_level", "rank_compare")},

@@ -272,13 +272,13 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     _, features, stats = _features(spark, sf)
     forest = fit_forest(features, KEY, stats.variables, model.ModelSettings().forest)
-    return with_scores(features, [(forest, {forest.trees: "score_samples"})])
+    return _rounded(with_scores(features, [(forest, {forest.trees: "score_samples"})]), 9)
 
 
 def iforest_rank(spark: SparkSession, sf: str) -> DataFrame:
     settings = model.ModelSettings(with_pca=False)
     run = model.run_model(co.consolidate(_raw_matrix(spark, sf)), settings)
-    return run.matrix.select(KEY, model.SCORE, model.FLAG, model.RANK, model.PERCENTILE, model.LEVEL)
+    return _rounded(run.matrix.select(KEY, model.SCORE, model.FLAG, model.RANK, model.PERCENTILE, model.LEVEL), 9)
 
 
 def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +302,7 @@ def stability_study(spark: SparkSession, sf: str) -> DataFrame:
     forest = fit_forest(features, KEY, stats.variables, run.forest)
     scores = with_scores(features, [(forest, {forest.trees: "score_samples"})])
     scored = scores.select(KEY, (-F.col("score_samples")).alias(model.SCORE))
-    return stability(scored, features, stats.variables)
+    return _rounded(stability(scored, features, stats.variables), 9)
 
 
 MATRIX_QUERIES = {

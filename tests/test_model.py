@@ -56,26 +56,48 @@ def test_scores_of_a_hand_built_tree():
 
 def test_grown_trees_are_sound():
     x = _points(256)[FEATURES].to_numpy()
-    nodes = {n[0]: n for n in fo.grow_tree(x, np.random.default_rng(1))}
+    nodes = {n[0]: n for n in fo.grow_tree(x, 42, 1)}
+    assert sorted(fo.grow_tree(x[::-1], 42, 1)) == sorted(nodes.values()) != sorted(fo.grow_tree(x, 42, 2))
     assert nodes[0][5] == 256
     for _, feature, _, left, right, size, depth in nodes.values():
         assert depth <= 8
         if feature >= 0:
             assert nodes[left][5] + nodes[right][5] == size
             assert nodes[left][5] > 0 and nodes[right][5] > 0
-    assert fo.grow_tree(np.ones((5, 2)), np.random.default_rng(1)) == [(0, -1, 0.0, -1, -1, 5, 0)]
+    assert fo.grow_tree(np.ones((5, 2)), 42, 1) == [(0, -1, 0.0, -1, -1, 5, 0)]
 
 
 def test_samples_have_exact_size_and_draw_evenly(spark, points):
     settings = fo.ForestSettings(trees=40)
-    samples = fo.tree_samples(points, "id_cliente", settings, 1_000, 2.0).toPandas()
+    samples = fo.tree_samples(points, "id_cliente", settings, 1_000, 1.2).toPandas()
     per_tree = samples.groupby("tree").size()
-    assert len(per_tree) == 40 and per_tree.between(400, 625).all()
+    assert len(per_tree) == 40 and (per_tree == 256).all()
     assert samples.duplicated(["tree", "id_cliente"]).sum() == 0
     per_row = samples.groupby("id_cliente").size().reindex(_points()["id_cliente"], fill_value=0)
-    assert abs(per_row.mean() - 40 * 0.512) < 1
+    assert per_row.sum() == 40 * 256 and per_row.max() <= 14  # three trees a round, 14 rounds
+    assert 6 < per_row.quantile(0.05) <= per_row.quantile(0.95) < 14  # mean 10.2, deviation 1.5
 
 
+def test_large_tables_are_hashed_once_and_cut_before_the_shuffle(spark, points):
+    samples = fo.tree_samples(points, "id_cliente", fo.ForestSettings(trees=4, max_samples=16), 1_000, 1.2)
+    plan = samples._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert plan.count("WindowGroupLimit") >= 2
+    found = samples.toPandas()
+    assert dict(found.groupby("tree").size()) == dict.fromkeys(range(4), 16)
+    assert found["id_cliente"].is_unique  # one round: no row in two trees
+
+
+def test_samples_follow_from_a_plain_hash(spark, points):
+    import hashlib
+
+    found = fo.tree_samples(points, "id_cliente", fo.ForestSettings(trees=5), 1_000, 5.0).toPandas()
+    for r in (0, 1):
+        ids = sorted(_points()["id_cliente"], key=lambda i: (hashlib.md5(f"{i}|42|{r}".encode()).hexdigest()[:13], i))
+        for c in range(3 if r == 0 else 2):
+            assert set(found.loc[found["tree"] == 3 * r + c, "id_cliente"]) == set(ids[256 * c : 256 * (c + 1)])
+
 def test_planted_outliers_rank_first_and_layout_does_not_matter(spark, points):
     settings = fo.ForestSettings(trees=60)
     one = fo.fit_forest(points.coalesce(1), "id_cliente", FEATURES, settings)

@@ -42,6 +42,12 @@ def test_first_purchase_pushes_filters_and_prunes(stored):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_excluded_ids_are_broadcast_and_the_ledger_stays(stored):
+    text = plan(first_purchase.first_purchases(first_purchase.sales_titles(stored, FIRST)))
+    assert "BroadcastHashJoin LeftAnti" in text and "ExistingRDD" not in text
+    assert text.count("WindowGroupLimit") >= 2 and len(re.findall(r"\) Exchange\n", text)) == 1
+
+
 def test_reversals_prune_items_and_join_inner(stored):
     text = plan(reversals.summarised(stored, REVERSALS))
     items = [s for s in scans(text) if "HKONT" in s[1]][0]
