@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditrank.operators.quantiles import exact_quantiles
+from auditrank.operators.quantiles import filled_quantiles
 
 _EPSILON = 10 * 2.220446049250313e-16  # a smaller quartile range counts as zero
 
@@ -43,16 +43,9 @@ class FeatureStats:
 
 
 def feature_stats(df: DataFrame, variables: Sequence[str], accuracy: int = 10_000) -> FeatureStats:
-    """Exact medians, then quartile ranges of the imputed columns.
-
-    Filling gaps with the median moves the quartiles but not the median, so
-    the centre needs no second pass.
-    """
-    medians = {v: q[0.5] for v, q in exact_quantiles(df, variables, [0.5], accuracy).items()}
-    known = [v for v in variables if medians[v] is not None]
-    filled = df.select(*(F.coalesce(v, F.lit(medians[v])).alias(v) for v in known))
-    quartiles = exact_quantiles(filled, known, [0.25, 0.75], accuracy)
-    ranges = {v: q[0.75] - q[0.25] for v, q in quartiles.items()}
+    """Exact medians and quartile ranges of the imputed columns, from the same passes."""
+    medians, quartiles = filled_quantiles(df, variables, [0.25, 0.75], accuracy)
+    ranges = {v: q[0.75] - q[0.25] for v, q in quartiles.items() if medians[v] is not None}
     scales = {v: r if r >= _EPSILON else 1.0 for v, r in ranges.items()}
     return FeatureStats({v: medians[v] for v in variables}, scales)
 

@@ -1,59 +1,58 @@
-"""Exact interpolated quantiles of many columns at once.
-
-The built-in exact ``percentile`` keeps every distinct value of a column in
-one task.  Here a sketch brackets each quantile, a second aggregate counts the
-rows around all brackets, and only the values strictly inside a bracket, a
-share of about ``6 / accuracy`` of the rows, are sorted.  The counts prove that
-the wanted ranks lie in the bracket; where they do not, the bracket is widened,
-in the end to the whole column.
-
-Columns are stacked as (column number, value), so each step is one aggregate
-with a group per column, combined before the shuffle.
+"""Exact interpolated quantiles of many columns in three passes over the table.
+
+The built-in exact ``percentile`` keeps every distinct value of a column in one
+task.  Here one wide aggregate takes a sketch of every column, which brackets each
+wanted rank; a second one counts the rows around all brackets; and the values
+strictly inside a bracket, a share of about ``2 / GRID`` of the rows, are put in
+order.  The counts prove that the wanted ranks lie in the bracket; where they do
+not, the bracket becomes the whole column, so the result is exact in every case.
+
+The rows are never stacked: a row leaves the third pass only with the few of its
+values that fall into a bracket.  Equal values are folded to one row with a number
+before the shuffle.  A bracket with few rows is ordered by a window; one with more
+than ONE_TASK is laid out in ranges (:func:`_by_ranges`), so no task holds a column.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditrank.session import stage
+
 #: {column: {probability: value or None}}
 Quantiles = dict[str, dict[float, float | None]]
+#: Wanted 0-based ranks among a column's values, from their number and that of NULLs.
+RanksOf = Callable[[int, int], Iterable[int]]
+
+#: Points at which each sketch is read.
+GRID = 1_000
+#: Rows of a bracket that a window may order in one task.
+ONE_TASK = 1_000_000
+_PLACE_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
 @dataclass
-class _Target:
-    """One quantile of one column: what is wanted and what is known of it."""
-
-    column: int
-    probability: int
-    ranks: tuple[int, int]  # 0-based ranks to interpolate between
-    weight: float  # share of the upper one
-    low: float
-    high: float
+class _Bracket:
+    """Ranks of one column between two values; both None for the whole column."""
+
+    column: str
+    ranks: list[int]
+    low: float | None
+    high: float | None
     at_low: int = 0  # rows up to and including ``low``
-    values: tuple[float, float] | None = None
-
-    def settle(self, below: int, to_low: int, under_high: int, to_high: int) -> bool:
-        """Use the counts around the bracket; False if it misses a rank."""
-        self.at_low = to_low
-        found = []
-        for rank in self.ranks:
-            if below <= rank < to_low:
-                found.append(self.low)
-            elif under_high <= rank < to_high:
-                found.append(self.high)
-        if len(found) == 2:
-            self.values = (found[0], found[1])
-        return below <= self.ranks[0] and self.ranks[1] < to_high
-
-    @property
-    def result(self) -> float:
-        lower, upper = self.values
-        return lower + (upper - lower) * self.weight
+    inside: int = 0  # rows strictly between
+
+    def holds(self) -> Column:
+        v = F.col(self.column)
+        return v.isNotNull() if self.low is None else (v > F.lit(self.low)) & (v < F.lit(self.high))
+
+    def offsets(self) -> list[int]:
+        return [r - self.at_low for r in self.ranks]
 
 
 def exact_quantiles(
@@ -63,95 +62,192 @@ def exact_quantiles(
 
     Runs jobs; a few numbers per column and probability reach the driver.
     """
-    result: Quantiles = {c: {p: None for p in probabilities} for c in columns}
-    if not columns:
-        return result
-    stacked = df.select(F.posexplode(F.array(*columns)).alias("c", "v")).where(F.col("v").isNotNull())
-    width, open_columns = 3.0 / accuracy, range(len(columns))
-    while open_columns:
-        targets = _bracketed(stacked.where(F.col("c").isin(list(open_columns))), probabilities, width, accuracy)
-        missed = _counted(stacked, targets, len(columns), len(probabilities))
-        settled = [t for t in targets if t.column not in missed]
-        inside = [t for t in settled if t.values is None]
-        if inside:
-            _sorted_inside(stacked, inside)
-        for t in settled:
-            result[columns[t.column]][probabilities[t.probability]] = t.result
-        open_columns, width = missed, width * 10
-    return result
-
-
-def _bracketed(
-    stacked: DataFrame, probabilities: Sequence[float], width: float, accuracy: int
-) -> list[_Target]:
-    """Targets with brackets from a sketch whose rank error is below ``width``."""
-    # The sketch is read at several widths at once; a column with few rows
-    # takes a wider one, so that its bracket spans some ranks.
-    widths = [width * 10**i for i in range(5)]
-    edges = [min(1.0, max(0.0, p + side)) for p in probabilities for w in widths for side in (-w, w)]
-    rows = (
-        stacked.groupBy("c")
-        .agg(F.count("v").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, edges)), accuracy).alias("e"))
-        .collect()
+    found, counts = order_statistics(
+        df, columns, lambda n, _: {r for p in probabilities if n for r in _neighbours(p, n)[:2]}, accuracy
     )
-    targets = []
-    for row in rows:
-        chosen = next((i for i, w in enumerate(widths) if w * row.n >= 3), len(widths) - 1)
-        for i, p in enumerate(probabilities):
-            place = p * (row.n - 1)
-            lower, upper = math.floor(place), math.ceil(place)
-            at = 2 * (i * len(widths) + chosen)
-            targets.append(_Target(row.c, i, (lower, upper), place - lower, row.e[at], row.e[at + 1]))
-    return targets
-
-
-def _lookup(values: dict[int, float], size: int) -> Column:
-    """Literal array read at the column number; NULL where nothing is known."""
-    return F.get(F.array(*(F.lit(values.get(i)).cast("double") for i in range(size))), F.col("c"))
-
-
-def _counted(stacked: DataFrame, targets: list[_Target], columns: int, probabilities: int) -> set[int]:
-    """Settle targets by counts; return the columns with a missed bracket."""
-    v = F.col("v")
-    counts = []
-    for i in range(probabilities):
-        low = _lookup({t.column: t.low for t in targets if t.probability == i}, columns)
-        high = _lookup({t.column: t.high for t in targets if t.probability == i}, columns)
-        for j, condition in enumerate((v < low, v <= low, v < high, v <= high)):
-            counts.append(F.count_if(condition).alias(f"k{4 * i + j}"))
-    known = sorted({t.column for t in targets})
-    seen = {
-        row.c: row for row in stacked.where(F.col("c").isin(known)).groupBy("c").agg(*counts).collect()
+    return {
+        c: {p: interpolated(p, counts[c][0], found[c].__getitem__) if counts[c][0] else None for p in probabilities}
+        for c in columns
     }
-    missed = set()
-    for t in targets:
-        if not t.settle(*(seen[t.column][f"k{4 * t.probability + j}"] for j in range(4))):
-            missed.add(t.column)
+
+
+def filled_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], accuracy: int = 10_000
+) -> tuple[dict[str, float | None], Quantiles]:
+    """Medians, and quantiles of the columns with their gaps filled by the median.
+
+    Filled gaps are so many rows with the median's value, put in behind the lower half;
+    which ranks they move, and how far, follows from their number.  So the same passes
+    give both.
+    """
+
+    def rank_among_values(rank: int, n: int, gaps: int) -> int | None:
+        """None for a filled gap."""
+        lower_half = (n + 1) // 2
+        if rank < lower_half:
+            return rank
+        return None if rank < lower_half + gaps else rank - gaps
+
+    def ranks(n: int, gaps: int) -> set[int]:
+        if not n:
+            return set()
+        filled = {rank_among_values(r, n, gaps) for p in probabilities for r in _neighbours(p, n + gaps)[:2]}
+        return {*_neighbours(0.5, n)[:2], *filled} - {None}
+
+    found, counts = order_statistics(df, columns, ranks, accuracy)
+    medians: dict[str, float | None] = {}
+    quantiles: Quantiles = {}
+    for c in columns:
+        n, gaps = counts[c]
+        medians[c] = median = interpolated(0.5, n, found[c].__getitem__) if n else None
+
+        def value(rank: int) -> float:
+            own = rank_among_values(rank, n, gaps)
+            return median if own is None else found[c][own]
+
+        quantiles[c] = {p: interpolated(p, n + gaps, value) if n else None for p in probabilities}
+    return medians, quantiles
+
+
+def _neighbours(probability: float, n: int) -> tuple[int, int, float]:
+    """Ranks between which a quantile of ``n`` rows lies, and the share of the upper one."""
+    place = probability * (n - 1)
+    return math.floor(place), math.ceil(place), place - math.floor(place)
+
+
+def interpolated(probability: float, n: int, value: Callable[[int], float]) -> float:
+    below, above, weight = _neighbours(probability, n)
+    lower, upper = value(below), value(above)
+    return lower + (upper - lower) * weight
+
+
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks_of: RanksOf, accuracy: int = 10_000
+) -> tuple[dict[str, dict[int, float]], dict[str, tuple[int, int]]]:
+    """Values at the wanted ranks of each column, and its numbers of values and NULLs."""
+    found: dict[str, dict[int, float]] = {c: {} for c in columns}
+    if not columns:
+        return found, {}
+    counts, edges = _sketched(df, columns, accuracy)
+    brackets = [
+        b for c in columns for b in _bracketed(c, sorted(ranks_of(*counts[c])), counts[c][0], edges[c])
+    ]
+    missed = _settled(df, brackets, found)
+    # Where the sketch was wrong, the whole column is the bracket.
+    again = {}
+    for b in missed:
+        again.setdefault(b.column, _Bracket(b.column, [], None, None, 0, counts[b.column][0])).ranks.extend(b.ranks)
+    waiting = [b for b in brackets if b.ranks and b not in missed] + list(again.values())
+    for some, order in (
+        ([b for b in waiting if b.inside <= ONE_TASK], _by_window),
+        ([b for b in waiting if b.inside > ONE_TASK], _by_ranges),
+    ):
+        if some:
+            for (t, offset), value in order(_inside(df, some), [b.offsets() for b in some]).items():
+                found[some[t].column][offset + some[t].at_low] = value
+    return found, counts
+
+
+def _sketched(
+    df: DataFrame, columns: Sequence[str], accuracy: int
+) -> tuple[dict[str, tuple[int, int]], dict[str, list[float]]]:
+    """Numbers of values and NULLs, and the sketch read at GRID + 1 points, per column."""
+    points = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+    row = df.agg(
+        F.count("*"),
+        *(F.struct(F.count(c), F.percentile_approx(c, points, accuracy)).alias(f"c{i}") for i, c in enumerate(columns)),
+    ).first()
+    counts = {c: (row[i][0], row[0] - row[i][0]) for i, c in enumerate(columns, 1)}
+    return counts, {c: row[i][1] for i, c in enumerate(columns, 1)}
+
+
+def _bracketed(column: str, ranks: list[int], n: int, edges: list[float]) -> list[_Bracket]:
+    """A bracket for each run of ranks with the same points of the sketch around them."""
+    brackets: list[_Bracket] = []
+    for rank in ranks:
+        place = rank / max(1, n - 1) * GRID
+        low, high = edges[max(0, math.floor(place) - 1)], edges[min(GRID, math.ceil(place) + 1)]
+        if not brackets or (brackets[-1].low, brackets[-1].high) != (low, high):
+            brackets.append(_Bracket(column, [], low, high))
+        brackets[-1].ranks.append(rank)
+    return brackets
+
+
+def _settled(df: DataFrame, brackets: list[_Bracket], found: dict[str, dict[int, float]]) -> list[_Bracket]:
+    """Counts around all brackets; settles ranks that fall on an edge, leaves in each
+    bracket those inside, and returns the brackets that miss a rank."""
+    edges = sorted({(b.column, e) for b in brackets for e in (b.low, b.high)})
+    if not edges:
+        return []
+    row = df.agg(
+        *(
+            F.struct(F.count_if(F.col(c) < F.lit(e)), F.count_if(F.col(c) <= F.lit(e))).alias(f"e{i}")
+            for i, (c, e) in enumerate(edges)
+        )
+    ).first()
+    seen = dict(zip(edges, row))
+    missed = []
+    for b in brackets:
+        (below, to_low), (under_high, to_high) = seen[b.column, b.low], seen[b.column, b.high]
+        b.at_low, b.inside = to_low, under_high - to_low
+        if not below <= b.ranks[0] <= b.ranks[-1] < to_high:
+            missed.append(b)
+            continue
+        for rank in b.ranks:
+            if rank < to_low:
+                found[b.column][rank] = b.low
+            elif rank >= under_high:
+                found[b.column][rank] = b.high
+        b.ranks = [r for r in b.ranks if to_low <= r < under_high]
     return missed
 
 
-def _sorted_inside(stacked: DataFrame, targets: list[_Target]) -> None:
-    """Read the wanted ranks among the values strictly inside the brackets."""
-    v = F.col("v")
-    columns = max(t.column for t in targets) + 1
-    entries = []
-    for p in sorted({t.probability for t in targets}):
-        mine = {t.column: (i, t) for i, t in enumerate(targets) if t.probability == p}
-        low = _lookup({c: t.low for c, (_, t) in mine.items()}, columns)
-        high = _lookup({c: t.high for c, (_, t) in mine.items()}, columns)
-        number = _lookup({c: i for c, (i, _) in mine.items()}, columns).cast("int")
-        entries.append(F.when((v > low) & (v < high), number))
-    values = (
-        stacked.select("v", F.explode(F.array_compact(F.array(*entries))).alias("t"))
-        .groupBy("t", "v")
-        .agg(F.count("*").alias("n"))
+def _inside(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
+    """(t, v, n): the values inside bracket t, equal ones folded."""
+    entries = [
+        F.when(b.holds(), F.struct(F.lit(t).alias("t"), F.col(b.column).alias("v"))) for t, b in enumerate(brackets)
+    ]
+    own = df.select(F.explode(F.array_compact(F.array(*entries))).alias("own"))
+    return own.groupBy("own.t", "own.v").agg(F.count("*").alias("n"))
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*(F.lit(v).cast("long") for v in values))
+
+
+def _hits(placed: DataFrame, part: Column, wanted: Column) -> list:
+    """(t, part, v, offset) of rows that hold a wanted offset within t and part."""
+    end = F.sum("n").over(Window.partitionBy("t", "part").orderBy("v"))
+    rows = placed.select("t", part.alias("part"), "v", "n", wanted.alias("wanted")).withColumn("end", end)
+    own = F.filter("wanted", lambda o: (o >= F.col("end") - F.col("n")) & (o < F.col("end")))
+    return rows.select("t", "part", "v", F.explode(own).alias("offset")).collect()
+
+
+def _by_window(values: DataFrame, wanted: list[list[int]]) -> dict[tuple[int, int], float]:
+    offsets = F.array(*map(_longs, wanted))[F.col("t")]
+    return {(r.t, r.offset): r.v for r in _hits(values, F.lit(0), offsets)}
+
+
+def _by_ranges(values: DataFrame, wanted: list[list[int]]) -> dict[tuple[int, int], float]:
+    """Selection by a range layout: the rows of each range are counted, and only the ranges
+    that hold a wanted offset are put in order, each by itself."""
+    laid_out = stage(
+        values.repartitionByRange("t", "v").withColumn("_place", F.monotonically_increasing_id()), "quantile-ranges"
+    ).withColumn("_range", F.shiftright("_place", _PLACE_BITS))
+    # A range holds neighbouring brackets: at most ranges + brackets rows.
+    sizes = laid_out.groupBy("t", "_range").agg(F.sum("n").alias("size")).orderBy("t", "_range").collect()
+    start = dict.fromkeys(range(len(wanted)), 0)
+    starts: dict[tuple[int, int], int] = {}
+    parts = []
+    for t, part, size in sizes:
+        starts[t, part] = start[t]
+        local = [o - start[t] for o in wanted[t] if 0 <= o - start[t] < size]
+        if local:
+            parts.append((t, part, local))
+        start[t] += size
+    local = F.coalesce(
+        *(F.when((F.col("t") == t) & (F.col("_range") == part), _longs(offsets)) for t, part, offsets in parts)
     )
-    facts = F.array(*(F.array(*map(F.lit, (t.at_low, *t.ranks))) for t in targets))[F.col("t")]
-    end = facts[0] + F.sum("n").over(Window.partitionBy("t").orderBy("v"))
-    placed = values.select("t", "v", "n", end.alias("end"), facts[1].alias("a"), facts[2].alias("b"))
-    begin, last = F.col("end") - F.col("n"), F.col("end") - 1
-    hits = placed.where(F.col("a").between(begin, last) | F.col("b").between(begin, last)).collect()
-    found = {(h.t, r): h.v for h in hits for r in (h.a, h.b) if h.end - h.n <= r < h.end}
-    for i, t in enumerate(targets):
-        a, b = t.ranks
-        t.values = (found.get((i, a), t.low), found.get((i, b), t.high))
+    chosen = laid_out.withColumn("_wanted", local).where(F.col("_wanted").isNotNull())
+    rows = _hits(chosen, F.col("_range"), F.col("_wanted"))
+    return {(r.t, r.offset + starts[r.t, r.part]): r.v for r in rows}

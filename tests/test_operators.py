@@ -14,6 +14,7 @@ from auditrank.operators import consolidate as co
 from auditrank.operators.features import feature_stats
 from auditrank.operators.numbers import as_numbers, brazilian_columns
 from auditrank.operators.ordering import numbered, ranked, with_previous
+from auditrank.operators import quantiles as q
 from auditrank.operators.quantiles import exact_quantiles
 from auditrank.operators.sampling import fixed_size_sample
 from auditrank.plans.indicators import model_variables, with_indicators
@@ -52,25 +53,70 @@ def test_quantiles_equal_brute_force(spark, accuracy):
         assert np.allclose([out[c][p] for p in probabilities], expected, rtol=1e-12, atol=1e-12)
 
 
-def test_missed_bracket_is_widened(spark, monkeypatch):
+@pytest.mark.parametrize("one_task", [1_000_000, 10])
+def test_missed_bracket_becomes_the_whole_column(spark, monkeypatch, one_task):
     """A sketch that misses the wanted ranks must not change the result."""
-    from auditrank.operators import quantiles as q
-
     original = q._bracketed
-    calls = []
 
-    def misled(stacked, probabilities, width, accuracy):
-        calls.append(width)
-        targets = original(stacked, probabilities, width, accuracy)
-        if len(calls) == 1:
-            for t in targets:
-                t.low = t.high = -1e9
-        return targets
+    def misled(column, ranks, n, edges):
+        brackets = original(column, ranks, n, edges)
+        for b in brackets:
+            b.low = b.high = -1e9
+        return brackets
 
     monkeypatch.setattr(q, "_bracketed", misled)
-    df = spark.range(101).select(F.col("id").cast("double").alias("x"))
-    assert exact_quantiles(df, ["x"], [0.5])["x"][0.5] == 50.0
-    assert len(calls) == 2
+    monkeypatch.setattr(q, "ONE_TASK", one_task)
+    data = _columns()
+    df = spark.createDataFrame(data).repartition(7)
+    df = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns))
+    probabilities = [0.0, 0.25, 0.5, 0.99]
+    out = exact_quantiles(df, list(data.columns), probabilities)
+    for c in data.columns:
+        expected = np.nanpercentile(data[c], [p * 100 for p in probabilities])
+        assert np.allclose([out[c][p] for p in probabilities], expected, rtol=1e-12, atol=1e-12)
+
+
+def test_a_whole_column_is_ordered_by_ranges(spark, monkeypatch):
+    """With every bracket missed and no bracket for one task, a window sees one range of
+    the rows, and a value that a third of all rows share arrives folded."""
+    monkeypatch.setattr(q, "ONE_TASK", 0)
+    seen = []
+    original = q._hits
+
+    def watched(placed, part, wanted):
+        seen.append(placed.groupBy(part.alias("part")).count().agg(F.max("count"), F.sum("count")).first())
+        return original(placed, part, wanted)
+
+    monkeypatch.setattr(q, "_hits", watched)
+    monkeypatch.setattr(q, "_bracketed", lambda c, ranks, n, e: [q._Bracket(c, list(ranks), -1e9, -1e9)])
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 77.0).otherwise(F.col("id").cast("double")).alias("x"))
+    values = sorted(77.0 if i % 3 == 0 else float(i) for i in range(20_000))
+    # Ranges this small would be joined to one.
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9])["x"]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert [out[p] for p in (0.1, 0.5, 0.9)] == pytest.approx(np.percentile(values, [10, 50, 90]))
+    ((largest, rows),) = seen
+    assert largest < 13_400 / 2 and rows <= 3 * largest  # three ranges at most, of four
+
+
+def test_filled_quantiles_equal_those_of_the_filled_columns(spark):
+    data = _columns()
+    data["gaps"] = [None if i % 3 else float(i % 50) for i in range(len(data))]
+    data["few"] = [float(i) if i < 4 else None for i in range(len(data))]
+    data["none"] = [None] * len(data)
+    df = spark.createDataFrame(data.astype(float)).repartition(5)
+    df = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns))
+    probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    medians, found = q.filled_quantiles(df, list(data.columns), probabilities, 50)
+    assert medians.pop("none") is None and set(found.pop("none").values()) == {None}
+    for c, median in medians.items():
+        own = data[c].astype(float)
+        assert median == pytest.approx(np.nanmedian(own))
+        assert np.allclose([found[c][p] for p in probabilities], np.percentile(own.fillna(median), [p * 100 for p in probabilities]))
 
 
 def test_quantiles_of_nothing(spark):
