@@ -19,6 +19,7 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,15 @@ ONE_TASK = 1_000_000
 _PLACE_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
+# Hundreds of expressions are built here; as SQL text each takes one call to the JVM.
+def _name(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
+def _double(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+
+
 @dataclass
 class _Bracket:
     """Ranks of one column between two values; both None for the whole column."""
@@ -47,9 +57,9 @@ class _Bracket:
     at_low: int = 0  # rows up to and including ``low``
     inside: int = 0  # rows strictly between
 
-    def holds(self) -> Column:
-        v = F.col(self.column)
-        return v.isNotNull() if self.low is None else (v > F.lit(self.low)) & (v < F.lit(self.high))
+    def holds(self) -> str:
+        v = _name(self.column)
+        return f"{v} IS NOT NULL" if self.low is None else f"{v} > {_double(self.low)} AND {v} < {_double(self.high)}"
 
     def offsets(self) -> list[int]:
         return [r - self.at_low for r in self.ranks]
@@ -152,7 +162,7 @@ def _sketched(
     df: DataFrame, columns: Sequence[str], accuracy: int
 ) -> tuple[dict[str, tuple[int, int]], dict[str, list[float]]]:
     """Numbers of values and NULLs, and the sketch read at GRID + 1 points, per column."""
-    points = F.array(*(F.lit(i / GRID) for i in range(GRID + 1)))
+    points = F.lit(np.arange(GRID + 1) / GRID)  # one literal, not GRID expressions per column
     row = df.agg(
         F.count("*"),
         *(F.struct(F.count(c), F.percentile_approx(c, points, accuracy)).alias(f"c{i}") for i, c in enumerate(columns)),
@@ -181,7 +191,7 @@ def _settled(df: DataFrame, brackets: list[_Bracket], found: dict[str, dict[int,
         return []
     row = df.agg(
         *(
-            F.struct(F.count_if(F.col(c) < F.lit(e)), F.count_if(F.col(c) <= F.lit(e))).alias(f"e{i}")
+            F.expr(f"struct(count_if({_name(c)} < {_double(e)}), count_if({_name(c)} <= {_double(e)})) AS e{i}")
             for i, (c, e) in enumerate(edges)
         )
     ).first()
@@ -204,15 +214,15 @@ def _settled(df: DataFrame, brackets: list[_Bracket], found: dict[str, dict[int,
 
 def _inside(df: DataFrame, brackets: list[_Bracket]) -> DataFrame:
     """(t, v, n): the values inside bracket t, equal ones folded."""
-    entries = [
-        F.when(b.holds(), F.struct(F.lit(t).alias("t"), F.col(b.column).alias("v"))) for t, b in enumerate(brackets)
-    ]
-    own = df.select(F.explode(F.array_compact(F.array(*entries))).alias("own"))
+    entries = ", ".join(
+        f"CASE WHEN {b.holds()} THEN struct({t} AS t, {_name(b.column)} AS v) END" for t, b in enumerate(brackets)
+    )
+    own = df.select(F.expr(f"explode(array_compact(array({entries}))) AS own"))
     return own.groupBy("own.t", "own.v").agg(F.count("*").alias("n"))
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*(F.lit(v).cast("long") for v in values))
+    return F.lit(np.array(values, np.int64))
 
 
 def _hits(placed: DataFrame, part: Column, wanted: Column) -> list:
