@@ -205,25 +205,56 @@ def unique_reversals(pairs: DataFrame) -> DataFrame:
 
 
 def customer_summary(unique: DataFrame) -> DataFrame:
-    """Pairs folded to customers.
+    """Pairs folded to customers, in three folds with plain counts.
 
     A pair appears once per customer name, so its value counts per name and
-    its key once.  Both distinct counts are spread over (customer, value) by
-    Spark before they are totalled, also for a customer with very many pairs.
+    its key once.  The first fold leaves a row per (customer, key), the second
+    one per (customer, users text), where the first text of a key stands for the
+    key; their rows are what the distinct counts count.  No row is expanded, and
+    a customer with very many pairs reaches each shuffle once per map task and
+    fold key.
     """
     value = F.col("valor_estorno_sem_duplicidade")
     status = F.col("status_relacao_estorno")
-    return unique.groupBy("id_cliente").agg(
-        F.max("nome_cliente").alias("nome_cliente"),
-        sorted_list(F.col("empresa")).alias("empresas_com_estorno"),
-        F.count_distinct("chave_par_estorno").alias("qtd_estornos_cliente"),
-        F.sum(value).alias("valor_total_estornos_cliente"),
-        F.max(value).alias("maior_valor_estorno_cliente"),
-        F.min("data_primeiro_registro").alias("data_primeiro_estorno_cliente"),
-        F.max("data_ultimo_registro").alias("data_ultimo_estorno_cliente"),
-        F.count_distinct("usuarios_envolvidos").alias("qtd_usuarios_estorno"),
-        F.count_if(status == fv.TWO_LEGS).alias("qtd_estornos_duas_pernas_localizadas"),
-        F.count_if(status == fv.ONE_LEG).alias("qtd_estornos_uma_perna_localizada"),
+    per_key = unique.groupBy("id_cliente", "chave_par_estorno").agg(
+        F.max("nome_cliente").alias("nome"),
+        F.collect_set("empresa").alias("empresas"),  # one company: it is part of the key
+        F.collect_set("usuarios_envolvidos").alias("textos"),  # one per customer name
+        F.sum(value).alias("total"),
+        F.max(value).alias("maior"),
+        F.min("data_primeiro_registro").alias("primeiro"),
+        F.max("data_ultimo_registro").alias("ultimo"),
+        F.count_if(status == fv.TWO_LEGS).alias("duas"),
+        F.count_if(status == fv.ONE_LEG).alias("uma"),
+    )
+    first = F.coalesce("lugar", F.lit(0)) == 0
+    per_text = (
+        per_key.select("*", F.posexplode_outer("textos").alias("lugar", "texto"))
+        .groupBy("id_cliente", "texto")
+        .agg(
+            F.max("nome").alias("nome"),
+            F.array_distinct(F.flatten(F.collect_set("empresas"))).alias("empresas"),
+            F.count_if(first & F.col("chave_par_estorno").isNotNull()).alias("chaves"),
+            F.sum(F.when(first, F.col("total"))).alias("total"),
+            F.max("maior").alias("maior"),
+            F.min("primeiro").alias("primeiro"),
+            F.max("ultimo").alias("ultimo"),
+            F.sum(F.when(first, F.col("duas")).otherwise(0)).alias("duas"),
+            F.sum(F.when(first, F.col("uma")).otherwise(0)).alias("uma"),
+        )
+    )
+    companies = F.array_distinct(F.flatten(F.collect_set("empresas")))
+    return per_text.groupBy("id_cliente").agg(
+        F.max("nome").alias("nome_cliente"),
+        F.when(F.size(companies) > 0, F.array_join(F.array_sort(companies), ", ")).alias("empresas_com_estorno"),
+        F.sum("chaves").alias("qtd_estornos_cliente"),
+        F.sum("total").alias("valor_total_estornos_cliente"),
+        F.max("maior").alias("maior_valor_estorno_cliente"),
+        F.min("primeiro").alias("data_primeiro_estorno_cliente"),
+        F.max("ultimo").alias("data_ultimo_estorno_cliente"),
+        F.count("texto").alias("qtd_usuarios_estorno"),
+        F.sum("duas").alias("qtd_estornos_duas_pernas_localizadas"),
+        F.sum("uma").alias("qtd_estornos_uma_perna_localizada"),
     )
 
 

@@ -314,7 +314,17 @@ FROM customer_scores""",
     ),
 }
 
+_ROWS = {
+    "resumo_geral": "11", "resumo_testes": len(TESTS), "estatistica_descritiva": len(DESCRIBED),
+    "correlacao_testes": len(TESTS), "top_100_clientes": "least(n, 100)", "sensibilidade_contaminacao": 4,
+    "grafico_clientes_por_teste": len(TESTS), "grafico_scores": "n", "grafico_correlacao": len(TESTS) ** 2,
+}
 SCORED = MATRIX | {
+    "reports_written": "\nUNION ALL ".join(
+        f"SELECT '{name}' AS tabela, 'parquet' AS formato, CAST({n} AS BIGINT) AS linhas, CAST({n} AS BIGINT) AS lidas "
+        "FROM (SELECT count(*) AS n FROM matrix_indicators)"
+        for name, n in _ROWS.items()
+    ),
     "matrix_scores": "SELECT id_cliente, "
     + _STAND_IN.format(n="(CAST(id_cliente AS BIGINT) - 1000000000)", f=7919)
     + " AS a FROM matrix_indicators",
@@ -417,7 +427,7 @@ MATRIX_QUERIES = {
     **{name: (REPORTS, "") for name in (
         "test_summary", "test_correlation", "sensitivity", "chart_flag_counts")},
     **{name: (CUSTOMERS, "") for name in ("rank_first", "rank_pct_avg", "priority_level", "rank_compare")},
-    **{name: (SCORED, "") for name in ("describe_long", "top100", "run_summary", "chart_score_pairs")},
+    **{name: (SCORED, "") for name in ("reports_written", "describe_long", "top100", "run_summary", "chart_score_pairs")},
 }
 
 

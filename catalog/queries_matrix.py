@@ -26,7 +26,7 @@ from auditrank.plans.stability import comparison_table, group_ranks, stability
 from auditrank.session import shared_folder, stage
 from auditrank.sources.delimited import ROW_ORDER, read_delimited, typed
 from auditrank.sources.erp_views import ledger_views
-from auditrank.sources.sinks import write_csv
+from auditrank.sources.sinks import MANIFEST, read_reports, write_csv, write_reports
 from catalog.queries_ledger import t01, t02, t03, t04, t05, t06
 
 KEY = co.KEY
@@ -269,6 +269,32 @@ def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return reports.run_summary(scored, len(model.model_variables(scored)), model.ModelSettings())
 
 
+def reports_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The report tables written to a folder, and what its manifest leads back to."""
+    scored = stage(_scored_stand_in(spark, sf), "scored")
+    summary = reports.summary_by_test(scored)
+    correlation = reports.correlation_of_tests(scored)
+    tables = {
+        "resumo_geral": reports.run_summary(scored, len(model.model_variables(scored)), model.ModelSettings()),
+        "resumo_testes": summary,
+        "estatistica_descritiva": reports.described(scored),
+        "correlacao_testes": reports.correlation_matrix(correlation),
+        "top_100_clientes": reports.top_customers(scored),
+        "sensibilidade_contaminacao": reports.sensitivity(scored),
+        "pca": None,
+        "vazia": scored.where("1 = 0"),
+        "grafico_clientes_por_teste": reports.flag_counts(summary),
+        "grafico_scores": reports.score_pairs(scored),
+        "grafico_correlacao": correlation,
+    }
+    folder = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    write_reports(tables, folder, optional=("vazia", "correlacao_testes"))
+    found = read_reports(spark, folder)
+    manifest = found.pop(MANIFEST).select("tabela", "formato", "linhas")
+    read = [df.agg(F.count("*").alias("lidas")).select(F.lit(name).alias("tabela"), "lidas") for name, df in found.items()]
+    return manifest.join(reduce(DataFrame.unionByName, read), "tabela")
+
+
 def iforest_scores(spark: SparkSession, sf: str) -> DataFrame:
     _, features, stats = _features(spark, sf)
     forest = fit_forest(features, KEY, stats.variables, model.ModelSettings().forest)
@@ -329,6 +355,7 @@ MATRIX_QUERIES = {
     "rank_compare": rank_compare,
     "top100": top100,
     "run_summary": run_summary,
+    "reports_written": reports_written,
     "chart_flag_counts": lambda s, sf: reports.flag_counts(reports.summary_by_test(_matrix(s, sf))),
     "chart_score_pairs": lambda s, sf: _rounded(reports.score_pairs(_scored_stand_in(s, sf)), 9),
     "sample_fixed_size": lambda s, sf: fixed_size_sample(

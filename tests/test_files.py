@@ -133,3 +133,28 @@ def test_stage_writes_to_the_shared_folder(spark):
     df = stage(spark.range(3).select(F.col("id").alias("x")), "t")
     assert df.inputFiles()[0].split("file:")[-1].lstrip("/").startswith(shared_folder(spark).lstrip("/"))
     assert sorted(r.x for r in df.collect()) == [0, 1, 2]
+
+
+def test_a_run_is_read_back_by_its_manifest(spark, tmp_path):
+    from auditrank.sources.sinks import MANIFEST, read_reports, write_reports
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "b;,", 0.5)], "id int, nome string, v double")
+    for fmt in ("parquet", "csv"):
+        folder = str(tmp_path / fmt)
+        tables = {"linhas": rows, "nada": None, "vazia": rows.where("id > 9"), "contagem": rows.groupBy().count()}
+        assert write_reports(tables, folder, fmt, optional=("vazia",)) == ["linhas", "contagem"]
+        found = read_reports(spark, folder)
+        assert sorted((r.tabela, r.formato, r.linhas) for r in found[MANIFEST].collect()) == [("contagem", fmt, 1), ("linhas", fmt, 2)]
+        assert found["linhas"].schema == rows.schema
+        assert sorted(found["linhas"].collect()) == sorted(rows.collect())
+
+
+def test_an_unfinished_run_is_no_run(spark, tmp_path):
+    from auditrank.sources.sinks import MANIFEST, read_reports, write_reports
+
+    bad = spark.range(3).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception):
+        write_reports({"primeira": spark.range(2), "segunda": bad}, str(tmp_path / "run"))
+    assert (tmp_path / "run" / "primeira").exists() and not (tmp_path / "run" / MANIFEST).exists()
+    with pytest.raises(Exception):
+        read_reports(spark, str(tmp_path / "run"))

@@ -1,5 +1,6 @@
 """Hand-made cases of test 03."""
 
+from datetime import date
 from decimal import Decimal
 
 from auditrank import fixed_values as fv
@@ -98,3 +99,24 @@ def test_documents_count_distinct_items(spark):
     data = ledger(spark, [customer(C)], items, [header("1", "2")])
     out = t03.reversal_documents(t03.reversal_items(data, PARAMS)).first()
     assert out.qtd_itens_documento == 2 and out.valor_documento == Decimal(3)
+
+
+def test_summary_counts_keys_and_users_of_customers_with_two_names(spark):
+    """Distinct counts and sums where a pair stands once per name, with other users."""
+    rows = [
+        ("1", "A", "e1", "k1", "u1", 10, "Duas pernas localizadas"),
+        ("1", "B", "e1", "k1", "u1", 10, "Duas pernas localizadas"),
+        ("1", "A", "e1", "k2", "u1, u2", 5, "Apenas uma perna localizada"),
+        ("1", "B", "e1", "k2", "u3", 7, "Apenas uma perna localizada"),
+        ("1", "A", "e2", "k3", None, 1, "Não classificado"),
+        ("1", "A", "e0", None, "u9", 2, "Duas pernas localizadas"),
+        ("2", None, None, "k1", None, None, "Apenas uma perna localizada"),
+    ]
+    unique = spark.createDataFrame(
+        [(*r[:5], None if r[5] is None else Decimal(r[5]), r[6], date(2024, 1, 1 + i), date(2024, 2, 1 + i)) for i, r in enumerate(rows)],
+        "id_cliente string, nome_cliente string, empresa string, chave_par_estorno string, usuarios_envolvidos string, "
+        "valor_estorno_sem_duplicidade decimal(38,9), status_relacao_estorno string, data_primeiro_registro date, data_ultimo_registro date",
+    )
+    one, two = sorted(t03.customer_summary(unique).collect())
+    assert tuple(one) == ("1", "B", "e0, e1, e2", 3, Decimal(35), Decimal(10), date(2024, 1, 1), date(2024, 2, 6), 4, 3, 2)
+    assert tuple(two) == ("2", None, None, 1, None, None, date(2024, 1, 7), date(2024, 2, 7), 0, 0, 1)
