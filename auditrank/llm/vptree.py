@@ -81,11 +81,11 @@ class Tree:
             return
         if len(node) == 2:
             a, b = node
-            top.offer(active, queries[active] @ self.points[a:b].T, self.ids[a:b], own)
+            top.offer(active, queries, self.points[a:b], self.ids[a:b], own)
             return
         a, near, far, near_low, near_high, far_low, far_high = node
         dots = queries[active] @ self.points[a]
-        top.offer(active, dots[:, None], self.ids[a : a + 1], own)
+        top.offer(active, queries, self.points[a : a + 1], self.ids[a : a + 1], own)
         square = (queries[active] ** 2).sum(1) + (self.points[a] ** 2).sum() - 2 * dots
         distance = np.sqrt(np.maximum(square, 0))
         parts = ((near, near_low, near_high), (far, far_low, far_high))
@@ -95,31 +95,67 @@ class Tree:
             group, at = active[first == swap], distance[first == swap]
             for child, low, high in parts[::-1] if swap else parts:
                 gap = np.maximum(np.maximum(low - at, at - high), 0)
-                # Rounding must not skip a point on the edge.
-                open_ = gap * (1 - 1e-9) - 1e-9 <= factor * top.radius(group)
+                # Rounding must not skip a point on the edge, nor one equal to the worst.
+                open_ = gap <= factor * top.radius(group) + top.slack[group]
                 self._walk(child, queries, group[open_], own, top, factor)
 
 
+def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed from the first component to the last.
+
+    The order of the sum does not depend on how many rows there are, so equal vectors
+    have equal scores wherever they stand.
+    """
+    return np.cumsum(queries * points, axis=1)[:, -1]
+
+
+#: Pairs whose products are summed at a time.
+_PAIRS = 65_536
+
+
 class Top:
-    """The best products of each query so far, and the distance of the worst of them."""
+    """The best products of each query so far, and the distance of the worst of them.
+
+    Matrix products find the candidates, within a bound of their rounding; the scores
+    that are kept, compared and returned are those of :func:`products`.  Candidates that
+    tie with the worst stay until ids are compared.
+    """
 
     def __init__(self, queries: np.ndarray, limit: float, k: int):
         self.k, self.score = k, np.full((len(queries), k), -np.inf)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.base = (queries**2).sum(1) + limit**2
+        squares = (queries**2).sum(1)
+        self.base = squares + limit**2
+        # Twice the rounding of a sum of so many products, and of squares of distances;
+        # the root of the latter is what a distance near zero may be wrong by.
+        unit = (queries.shape[1] + 8) * np.finfo(float).eps
+        self.error = 2 * unit * np.sqrt(squares) * limit
+        self.slack = 4 * np.sqrt(unit) * (np.sqrt(squares) + limit)
 
     def radius(self, active: np.ndarray) -> np.ndarray:
         """Infinite while a query has fewer than k."""
         return np.sqrt(np.maximum(self.base[active] - 2 * self.score[active, -1], 0))
 
-    def offer(self, active: np.ndarray, dots: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        dots = np.where(ids[None, :] == own[active, None], -np.inf, dots)
-        better = (dots >= self.score[active, -1:]).any(1)
-        active, dots = active[better], dots[better]
+    def offer(self, active: np.ndarray, queries: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        rough = queries[active] @ points.T
+        rough[ids[None, :] == own[active, None]] = -np.inf
+        # Below the worst kept, or below the k-th of this lot, by more than the error.
+        worst = self.score[active, -1]
+        if len(ids) > self.k:
+            worst = np.maximum(worst, np.partition(rough, -self.k, axis=1)[:, -self.k] - self.error[active])
+        likely = (rough >= (worst - self.error[active])[:, None]) & (rough > -np.inf)
+        some = likely.any(1)
+        active, likely = active[some], likely[some]
         if not len(active):
             return
-        score = np.concatenate((self.score[active], dots), axis=1)
-        found = np.concatenate((self.id[active], np.broadcast_to(ids, dots.shape)), axis=1)
+        row, column = np.nonzero(likely)
+        exact = np.full(likely.shape, -np.inf)
+        for at in range(0, len(row), _PAIRS):
+            r, c = row[at : at + _PAIRS], column[at : at + _PAIRS]
+            # The last component is the added one, 0 in a query.
+            exact[r, c] = products(queries[active[r], :-1], points[c, :-1])
+        score = np.concatenate((self.score[active], exact), axis=1)
+        found = np.concatenate((self.id[active], np.broadcast_to(ids, exact.shape)), axis=1)
         found = np.where(score == -np.inf, np.iinfo(np.int64).max, found)
         best = np.lexsort((found, -score), axis=1)[:, : self.k]
         self.score[active] = np.take_along_axis(score, best, 1)

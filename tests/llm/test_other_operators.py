@@ -112,6 +112,34 @@ def test_neighbours_equal_brute_force(spark, sf, monkeypatch):
     assert _neighbours(df) == _brute_neighbours(rows, 20)
 
 
+@pytest.mark.parametrize("unit", [False, True])
+def test_neighbours_among_equal_vectors(spark, monkeypatch, unit):
+    """Many copies of one vector, over several shards: ids and scores bit by bit."""
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 300)
+    monkeypatch.setattr(vptree, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(vptree, "LEAF_ROWS", 32)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(1000, 64))
+    vectors[rng.permutation(1000)[:400]] = rng.normal(size=64) * 3
+    vectors[rng.permutation(1000)[:30]] *= 1 + 1e-15
+    if unit:
+        vectors /= np.sqrt((vectors**2).sum(1))[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+
+    def score(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    expected = []
+    for i, v in rows[::20]:
+        best = sorted((-score(v, w), j) for j, w in rows if j != i)[:20]
+        expected += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    found = vptree.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in found.collect()) == expected
+
+
 def test_neighbours_with_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, float(i % 3)], "x") for i in range(60)]
     odd = [(80, None, "x"), (100, [0.0, 0.0], "x"), (120, [float("nan"), 1.0], "x"), (140, [None, 1.0], "x"), (160, [float("inf"), 1.0], "x"), (None, [1.0, 1.0], "x"), (180, [1.0, 2.0, 3.0], "x")]
@@ -134,7 +162,7 @@ def test_a_smaller_factor_skips_more(spark, sf):
         seen = []
         top = vptree.Top(asked, limit, 10)
         offer = top.offer
-        top.offer = lambda active, dots, ids, own: (seen.append(dots.size), offer(active, dots, ids, own))  # noqa: B023
+        top.offer = lambda active, *rest: (seen.append(len(active) * len(rest[1])), offer(active, *rest))  # noqa: B023
         tree.search(asked, np.arange(50), top, factor)
         true = [sorted(range(4000), key=lambda j: (-points[i] @ points[j], j)) for i in range(50)]
         best = [set([j for j in t if j != i][:10]) for i, t in enumerate(true)]
