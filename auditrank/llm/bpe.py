@@ -33,6 +33,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,29 @@ MEMO_WORDS = 300_000
 #: White space separates words, so turning runs of it into one blank first would
 #: change nothing.  The second pattern is the first one for characters below
 #: U+0250 in lower case, in a quicker engine.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Letters and numbers that are symbols to the tokenizer library's splitter,
+# whose Unicode tables are older than those of the ``regex`` module.
+_LETTERS_AS_SYMBOLS = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011df1\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    "\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168"
+    "\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_NUMBERS_AS_SYMBOLS = "\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
+# Capitals that the library lower-cases and this Python may not know.
+_NEW_CAPITALS = str.maketrans(
+    {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+    | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+)
+_HAS_NEW_CAPITAL = re.compile(f"[{''.join(map(chr, _NEW_CAPITALS))}]")
+_WORDS = regex.compile(
+    rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LETTERS_AS_SYMBOLS}]]+|[\p{{N}}--[{_NUMBERS_AS_SYMBOLS}]]"
+    rf"|[[^\s\p{{L}}\p{{N}}]||[{_LETTERS_AS_SYMBOLS}{_NUMBERS_AS_SYMBOLS}]]+"
+)
 _LATIN_WORDS = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
     "|[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u024f]+"
@@ -104,6 +127,8 @@ class Vocabulary:
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _HAS_NEW_CAPITAL.search(text):
+                text = text.translate(_NEW_CAPITALS)
         text = text.lower()
         return (_WORDS if _BEYOND_LATIN.search(text) else _LATIN_WORDS).findall(text)
 
@@ -348,9 +373,13 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.vocabulary.chunks(text))) if text else b""
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Tokens joined by a blank, as a tokenizer file without decoder has it."""
-        return " ".join(map(self.vocabulary.tokens.__getitem__, ids.tolist()))
+
+def decoded(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The tokens of each list joined by a blank, as a tokenizer file without decoder has it."""
+    values = pc.take(tokens, ids.flatten())
+    offsets = pc.subtract(ids.offsets, ids.offsets[0])
+    lists = pa.LargeListArray.from_arrays(offsets.cast(pa.int64()), values)
+    return pc.if_else(ids.is_valid(), pc.binary_join(lists, pa.scalar(" ", pa.large_string())), None)
 
 
 def _encoders(docs: DataFrame, path: str):
@@ -358,14 +387,18 @@ def _encoders(docs: DataFrame, path: str):
     built = lexicon(docs, path)
     digest = hashlib.sha256(built).hexdigest()[:24]
     sent = docs.sparkSession.sparkContext.broadcast(built)
-    made: dict[str, Encoder] = {}
+    return lambda: _encoder(path, digest, lambda: sent.value)
 
-    def encoder() -> Encoder:
-        if digest not in made:
-            made[digest] = Encoder(path, opened(digest, lambda: sent.value))
-        return made[digest]
 
-    return encoder
+#: The worker's encoder; with it the memos outlive a task.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, digest: str, data) -> Encoder:
+    if (path, digest) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, digest] = Encoder(path, opened(digest, data))
+    return _ENCODERS[path, digest]
 
 
 def encode(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -400,11 +433,10 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
     at = encoded.columns.index(ids)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path).tokens
+        tokens = pa.array(vocabulary(path).tokens, pa.large_string())
         for batch in rows(batches):
             for part in _slices(batch, at):
-                found = [None if x is None else " ".join(map(tokens.__getitem__, x)) for x in part.column(at).to_pylist()]
-                arrays = [*part.columns, pa.array(found, pa.string())]
+                arrays = [*part.columns, decoded(tokens, part.column(at)).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
@@ -419,18 +451,23 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, sha = encoder(), hashlib.sha256
+        tokens = pa.array(work.vocabulary.tokens, pa.large_string())
         for batch in rows(batches):
-            count, ids_sha, text_sha = [], [], []
-            for text in batch.column(1):
-                ids = work.encode(text.as_py())
-                again = work.decode(np.frombuffer(ids, "<u4"))
-                count.append(len(ids) // 4)
-                ids_sha.append(sha(ids).hexdigest())
-                text_sha.append(sha(again.encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in _slices(batch, 1):
+                found = [work.encode(text.as_py()) for text in part.column(1)]
+                count = np.array([len(x) // 4 for x in found], np.int64)
+                starts = pa.array(np.append(0, np.cumsum(count)), pa.int32())
+                lists = pa.ListArray.from_arrays(starts, pa.array(np.frombuffer(b"".join(found), "<i4")))
+                again = decoded(tokens, lists).cast(pa.large_binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array(count),
+                        pa.array([sha(x).hexdigest() for x in found], pa.string()),
+                        pa.array([sha(x).hexdigest() for x in again], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -357,3 +357,17 @@ def test_word_counts_cover_all_texts(spark):
     counts = {r.word: r.n for r in bpe.count_words(df, vocabulary_path()).collect()}
     assert counts == {"a": 3, "b": 2, ",": 1}
     assert bpe.count_words(df, vocabulary_path()).agg(F.sum("n")).first()[0] == 6
+
+
+def test_bpe_of_every_code_point():
+    """Ids of each character between letters and a digit, as the library has them."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    vocabulary = bpe.vocabulary(vocabulary_path())
+    texts = [f"a{chr(c)}b 1" for c in range(0x34000) if not 0xD800 <= c < 0xE000]
+    for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        found = [i for chunk in vocabulary.chunks(text) for word in vocabulary.pieces(chunk) for i in vocabulary.merge(word)]
+        assert found == expected.ids, ascii(text)
