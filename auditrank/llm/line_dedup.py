@@ -11,10 +11,12 @@ it has a Jaccard similarity of at least 4/5 with it.
 3. Each remaining line puts its rarest words (the prefix that two lines as
    similar as asked must share a word of) into a shuffle by word.  Rows of a word
    stream by in order of size; pairs must pass the length, the positional and a
-   bitmap filter, and long lines must share several words of longer prefixes.  A pass looks at ``REACH`` neighbours and keeps each line's
-   ``BEST`` partners, so a hot group makes no square of pairs; lines for which
-   that was not all and that no pair removed are compared with everything left.
-4. Pairs are verified on the words of both lines.
+   bitmap filter, and long lines must share several words of longer prefixes.
+4. A line needs only one similar line before it.  So each line is first given its
+   nearest earlier candidate of each word; lines that this did not remove, and that
+   had more, get more (``ROUNDS``), and what is still open then is compared with
+   every candidate.  A hot group of similar lines makes no square of pairs.
+5. Pairs are verified on the words of both lines.
 
 Defined results: a NULL text stays NULL.  Lines without words stay.  Rows equal
 in doc_id and text are one document for the comparison and get the same text;
@@ -34,6 +36,7 @@ from pyspark.sql import types as T
 
 from auditrank.llm.frames import packed, rows, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, texts
+from auditrank.operators.ordering import numbered
 from auditrank.session import stage
 
 #: Similarity asked for: NUMERATOR / DENOMINATOR.
@@ -43,8 +46,8 @@ BUCKET_BITS = 20
 _PARTS = 16
 #: Following rows of the same word that one pass compares a row with.
 REACH = 1024
-#: Partners per line and word that the first pass hands on.
-BEST = 64
+#: Earlier partners per line and word that each round hands on.
+ROUNDS = (1, 16)
 
 #: Lines of more words have a second bitmap and must share more than one word of
 #: their prefixes.
@@ -179,56 +182,106 @@ def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | Non
     ]
 
 
-def _candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines that pass all filters for one word, from rows sorted by
-    (word, size), and how many words they must share in all.
-
-    A row with no ``b`` says that not all partners of ``a`` were handed on.
+class _Partners:
+    """For each row the few earlier lines of smallest gap met so far."""
+
+    NONE = np.iinfo(np.int64).max
+
+    def __init__(self, best: int, n: int = 0):
+        self.gap = np.full((n, best), self.NONE)
+        self.line = np.full((n, best), -1, np.int64)
+        self.need = np.zeros((n, best), np.int64)
+        self.missed = np.zeros(n, bool)
+
+    def grown(self, n: int) -> "_Partners":
+        """The same rows and ``n`` new ones."""
+        new = _Partners(self.gap.shape[1], n)
+        for name, own in vars(self).items():
+            setattr(new, name, np.concatenate((own, getattr(new, name))))
+        return new
+
+    def from_row(self, row: int) -> "_Partners":
+        out = _Partners(self.gap.shape[1])
+        for name, own in vars(self).items():
+            setattr(out, name, own[row:])
+        return out
+
+    def add(self, row: np.ndarray, line: np.ndarray, gap: np.ndarray, need: np.ndarray) -> None:
+        """A candidate for each of some different rows; the worst of a full list goes."""
+        worst = self.gap[row, -1]
+        self.missed[row[worst < self.NONE]] = True
+        better = gap < worst
+        row = row[better]
+        self.gap[row, -1], self.line[row, -1], self.need[row, -1] = gap[better], line[better], need[better]
+        if self.gap.shape[1] > 1:
+            order = np.argsort(self.gap[row], axis=1, kind="stable")
+            for own in (self.gap, self.line, self.need):
+                own[row] = np.take_along_axis(own[row], order, 1)
+
+    def rows(self, line: np.ndarray, upto: int) -> Iterator[pa.RecordBatch]:
+        row, place = np.nonzero(self.line[:upto] >= 0)
+        none = np.flatnonzero(self.missed[:upto])
+        if len(row) or len(none):
+            a = np.concatenate((self.line[row, place], line[none]))
+            b = pa.concat_arrays([pa.array(line[row]), pa.nulls(len(none), pa.int64())])
+            need = np.concatenate((self.need[row, place], np.ones(len(none), np.int64)))
+            yield pa.record_batch([pa.array(a), b, pa.array(need)], names=["a", "b", "need"])
+
+
+def _candidates(best: int):
+    """From rows sorted by (word, size): pairs of an earlier line ``a`` and an open line
+    ``b`` that pass all filters for one word, ``best`` for each b, and how many words
+    they must share in all.
+
+    A row with no ``b`` says that ``a`` had partners that were not handed on.
     """
-    kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.uint64, np.uint64)]
-    for batch in rows(batches):
-        new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        word, meta, line, bits, second = (np.concatenate((x, y.view(x.dtype))) for x, y in zip(kept, new))
-        old, n = len(kept[0]), len(word)
-        size, place = meta >> 32, meta & 0xFFFFFFFF
-        lefts, rights, gaps, unsure = [], [], [], []
-        i = np.arange(n)
-        for step in range(1, REACH + 2):
-            i = i[i + step < n]
-            j = i + step
-            close = (word[i] == word[j]) & (NUMERATOR * size[j] <= DENOMINATOR * size[i])
-            i, j = i[close], j[close]
-            if not len(i):
-                break
-            fresh = j >= old
-            a, b = i[fresh], j[fresh]
-            if step > REACH:
-                unsure += [line[a], line[b]]
-                break
-            both = size[a] + size[b]
-            least = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
-            after = np.minimum(size[a] - place[a], size[b] - place[b])
-            gap = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
-            long = size[a] > LONG
-            gap[long] = np.maximum(gap[long], np.bitwise_count(second[a[long]] ^ second[b[long]]))
-            good = (np.minimum(place[a], place[b]) + after >= least) & (gap <= both - 2 * least)
-            lefts.append(a[good])
-            rights.append(b[good])
-            gaps.append(gap[good])
-        if lefts:
-            a, b, gap = map(np.concatenate, (lefts, rights, gaps))
-            best = _best(a, gap) | _best(b, gap)
-            unsure += [line[a[~best]], line[b[~best]]]
-            need = _shared_words(np.minimum(size[a], size[b]))[best]
-            a, b = line[a[best]], line[b[best]]
-            yield pa.record_batch(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"]
-            )
-        if unsure and len(lone := np.unique(np.concatenate(unsure))):
-            none = pa.nulls(len(lone), pa.int64())
-            yield pa.record_batch([pa.array(lone), none, pa.array(np.ones(len(lone), np.int64))], names=["a", "b", "need"])
-        tail = max(_last_group(word), n - REACH - 1)
-        kept = [x[tail:] for x in (word, meta, line, bits, second)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.uint64, np.uint64, np.bool_)]
+        partners = _Partners(best)
+        for batch in rows(batches):
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            word, meta, line, bits, second, open_ = (np.concatenate((x, y.view(x.dtype))) for x, y in zip(kept, new))
+            old, n = len(kept[0]), len(word)
+            partners = partners.grown(n - old)
+            size, place = meta >> 32, meta & 0xFFFFFFFF
+            i = np.arange(n)
+            for step in range(1, REACH + 2):
+                i = i[i + step < n]
+                j = i + step
+                close = (word[i] == word[j]) & (NUMERATOR * size[j] <= DENOMINATOR * size[i])
+                i, j = i[close], j[close]
+                if not len(i):
+                    break
+                fresh = (j >= old) & (open_[i] | open_[j])
+                a, b = i[fresh], j[fresh]
+                if step > REACH:
+                    partners.missed[a[open_[a]]] = True
+                    partners.missed[b[open_[b]]] = True
+                    break
+                # The later line of a pair looks for a partner.
+                behind = line[a] > line[b]
+                wanted = np.where(behind, open_[a], open_[b])
+                a, b, behind = a[wanted], b[wanted], behind[wanted]
+                both = size[a] + size[b]
+                least = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
+                after = np.minimum(size[a] - place[a], size[b] - place[b])
+                gap = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
+                long = size[a] > LONG
+                gap[long] = np.maximum(gap[long], np.bitwise_count(second[a[long]] ^ second[b[long]]))
+                good = (np.minimum(place[a], place[b]) + after >= least) & (gap <= both - 2 * least)
+                a, b, gap, behind = a[good], b[good], gap[good], behind[good]
+                need = _shared_words(np.minimum(size[a], size[b]))
+                for own, other, some in ((a, b, behind), (b, a, ~behind)):
+                    partners.add(own[some], line[other[some]], gap[some], need[some])
+            # Rows that no later row can meet are done.
+            tail = max(_last_group(word), n - REACH - 1)
+            yield from partners.rows(line, tail)
+            partners = partners.from_row(tail)
+            kept = [x[tail:] for x in (word, meta, line, bits, second, open_)]
+        yield from partners.rows(kept[2], len(kept[2]))
+
+    return run
 
 
 def _last_group(word: np.ndarray) -> int:
@@ -236,16 +289,6 @@ def _last_group(word: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _best(of: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Marks each row's ``BEST`` pairs of smallest gap."""
-    order = np.lexsort((gap, of))
-    start = np.flatnonzero(np.diff(of[order], prepend=-1))
-    place = np.arange(len(of)) - np.repeat(start, np.diff(np.append(start, len(of))))
-    out = np.empty(len(of), bool)
-    out[order] = place < BEST
-    return out
-
-
 def _prefix_rows(lines: DataFrame) -> DataFrame:
     return lines.select(F.posexplode("prefix").alias("place", "word"), "size", "line", "bits", "more_bits").select(
         "word",
@@ -256,13 +299,32 @@ def _prefix_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+def _pairs(lines: DataFrame, open_: DataFrame | None, best: int) -> DataFrame:
+    """Candidates of the open lines (None: of all), ``best`` for each word."""
+    rows_ = _prefix_rows(lines)
+    if open_ is None:
+        rows_ = rows_.withColumn("open", F.lit(True))
+    else:
+        # Only words that an open line has.
+        words = _prefix_rows(lines.join(open_, "line", "left_semi")).select("word").distinct()
+        rows_ = rows_.join(words, "word", "left_semi").join(open_.withColumn("open", F.lit(True)), "line", "left")
+        rows_ = rows_.select("word", "meta", "line", "bits", "more_bits", F.coalesce("open", F.lit(False)).alias("open"))
+    # Dealt by a value made of the word: were it the word itself, as in the join before it,
+    # Spark would take the second exchange out, and a join that AQE turns into a broadcast
+    # then leaves rows of one word in several partitions.
+    return (
+        rows_.repartition(F.xxhash64("word")).sortWithinPartitions("word", "meta", "line")
+        .mapInArrow(_candidates(best), "a long, b long, need long").transform(_enough_words)
+    )
+
+
 def _enough_words(pairs: DataFrame) -> DataFrame:
     """Pairs that share as many words of their prefixes as they must."""
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
 
 
 def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every pair that passes the filters and has a line of ``unsure``."""
+    """Every pair of a line of ``unsure`` and an earlier one that passes the filters."""
     one = _prefix_rows(lines.join(unsure, "line", "left_semi")).select(
         "word", F.col("meta").alias("m1"), F.col("line").alias("l1"), F.col("bits").alias("b1"),
         F.col("more_bits").alias("c1"),
@@ -272,7 +334,7 @@ def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
     both = size1 + size2
     least = F.ceil(NUMERATOR * both / F.lit(NUMERATOR + DENOMINATOR))
     fits = (
-        (F.col("l1") != F.col("line"))
+        (F.col("line") < F.col("l1"))
         & (NUMERATOR * F.greatest(size1, size2) <= DENOMINATOR * F.least(size1, size2))
         & (F.least(place1, place2) + F.least(size1 - place1, size2 - place2) >= least)
         & (F.bit_count(F.col("b1").bitwiseXOR(F.col("bits"))) <= both - 2 * least)
@@ -286,9 +348,7 @@ def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
     found = one.join(rest, (one["word"] == rest["word"]) & fits).select(
         "l1", F.col("line").alias("l2"), need.alias("need")
     )
-    # A pair with both lines unsure comes from either side; each side counts for itself.
-    counted = _enough_words(found.select(F.col("l1").alias("a"), F.col("l2").alias("b"), "need"))
-    return counted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _enough_words(found.select(F.col("l2").alias("a"), F.col("l1").alias("b"), "need"))
 
 
 def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -301,7 +361,7 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 parts = unpack(text.as_py()).lower().split(b"\n")
                 out += [(p["line"], sorted(set(parts[p["line_no"]].split()))) for p in picks.as_py()]
             yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.binary()))],
+                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string()))],
                 names=["line", "words"],
             )
 
@@ -310,25 +370,20 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(picks["doc_id"]) & (docs["_text_key"] == picks["_text_key"])
     # Rows equal in doc_id and text would give the same line twice.
     once = docs.join(picks, same).select("text", "picks")
-    return once.mapInArrow(run, "line long, words array<binary>")
+    return once.mapInArrow(run, "line long, words array<string>")
 
 
 def _later(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Lines of verified pairs that come after their partner."""
+    """Lines that a verified pair shows to be like an earlier one."""
     place = lines.select("line", *_KEY)
     wanted = place.join(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "line", "left_semi")
-    words = stage(_line_words(docs, wanted).join(place, "line"), "line-words").withColumn(
-        "at", F.struct(F.col("doc_id").isNull().alias("n"), *_KEY)
-    )
-    one = words.select(F.col("line").alias("a"), F.col("words").alias("wa"), F.col("at").alias("pa"))
-    two = words.select(F.col("line").alias("b"), F.col("words").alias("wb"), F.col("at").alias("pb"))
+    # Words as strings: Spark compares arrays of strings by hash, of binaries one by one.
+    words = stage(_line_words(docs, wanted), "line-words")
+    one = words.select(F.col("line").alias("a"), F.col("words").alias("wa"))
+    two = words.select(F.col("line").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     enough = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (F.size("wa") + F.size("wb"))
-    return (
-        pairs.join(one, "a").join(two, "b").where(enough)
-        .select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("line"))
-        .distinct()
-    )
+    return pairs.join(one, "a").join(two, "b").where(enough).select(F.col("b").alias("line")).distinct()
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
@@ -339,21 +394,20 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         sets.groupBy("set_a", "set_b", "size", "bits", "more_bits", "prefix")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), *_KEY)).alias("at"))
         .select("at.doc_id", "at._text_key", "at.line_no", "size", "bits", "more_bits", "prefix")
-        # Written with the lines, so the numbers stay; small ones compress well.
-        .withColumn("line", F.monotonically_increasing_id())
-    )
-    lines = stage(firsts, "lines")
-    found = stage(
-        _prefix_rows(lines).repartition("word").sortWithinPartitions("word", "meta", "line")
-        .mapInArrow(_candidates, "a long, b long, need long").transform(_enough_words),
-        "line-pairs",
     )
-    pairs = found.where(F.col("b").isNotNull())
-    gone = stage(_later(keyed, lines, pairs), "later-lines")
-    unsure = found.where(F.col("b").isNull()).select(F.col("a").alias("line")).join(gone, "line", "left_anti")
-    if not unsure.isEmpty():
-        rest = stage(_rest(unsure, lines).join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-        gone = gone.unionByName(_later(keyed, lines, rest))
+    # Numbers in corpus order: of a pair, the line with the larger one goes.
+    lines = numbered(firsts, [F.col("doc_id").isNull(), *map(F.col, _KEY)], "line")
+    gone, open_ = None, None
+    for best in ROUNDS:
+        found = stage(_pairs(lines, open_, best), "line-pairs")
+        later = stage(_later(keyed, lines, found.where(F.col("b").isNotNull())), "later-lines")
+        gone = later if gone is None else gone.unionByName(later)
+        missed = found.where(F.col("b").isNull()).select(F.col("a").alias("line"))
+        open_ = stage(missed.join(later, "line", "left_anti"), "open-lines")
+        if open_.isEmpty():
+            break
+    else:
+        gone = gone.unionByName(_later(keyed, lines, stage(_rest(open_, lines), "line-pairs")))
     left = lines.select("line", *_KEY).join(gone, "line", "left_anti")
     return left.groupBy("doc_id", "_text_key").agg(F.collect_list("line_no").alias("keep"))
 

@@ -64,11 +64,11 @@ def _similar_lines(seed, docs=80):
     return [(i, "\n".join(line() for _ in range(rng.randint(1, 8)))) for i in range(docs)]
 
 
-@pytest.mark.parametrize("reach, best", [(1024, 4), (3, 1)])
-def test_line_dedup_of_many_similar_lines(spark, monkeypatch, reach, best):
+@pytest.mark.parametrize("reach, rounds", [(1024, (1, 16)), (1024, (4,)), (3, (1, 2)), (3, (1,))])
+def test_line_dedup_of_many_similar_lines(spark, monkeypatch, reach, rounds):
     """With a short reach the second pass has to find what the first left."""
     monkeypatch.setattr(line_dedup, "REACH", reach)
-    monkeypatch.setattr(line_dedup, "BEST", best)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
     rows = _similar_lines(reach)
     assert _lines(spark.createDataFrame(rows, DOC)) == line_dedup.brute_force(rows)
 
@@ -371,3 +371,15 @@ def test_bpe_of_every_code_point():
     for text, expected in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
         found = [i for chunk in vocabulary.chunks(text) for word in vocabulary.pieces(chunk) for i in vocabulary.merge(word)]
         assert found == expected.ids, ascii(text)
+
+
+def test_rows_of_a_word_stay_together_in_later_rounds(spark):
+    """Also where the joins before them become broadcasts."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 40}" for k in range(6))) for i in range(300)]
+    keyed = line_dedup._keyed(spark.createDataFrame(rows, DOC))
+    lines = line_dedup.line_sets(keyed, line_dedup.word_order(keyed)).withColumn("line", F.monotonically_increasing_id())
+    lines = line_dedup.stage(lines, "lines")
+    some = line_dedup.stage(lines.where(F.col("line") % 3 == 0).select("line"), "open")
+    found = line_dedup._pairs(lines, some, 1_000).where("b IS NOT NULL")
+    whole = line_dedup._pairs(lines, None, 1_000).where("b IS NOT NULL").join(some.withColumnRenamed("line", "b"), "b")
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((r.a, r.b) for r in whole.collect()) != []
