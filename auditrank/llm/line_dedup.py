@@ -228,12 +228,13 @@ class _Partners:
             yield pa.record_batch([pa.array(a), b, pa.array(need)], names=["a", "b", "need"])
 
 
-def _candidates(best: int):
+def _candidates(best: int, twice: bool = False):
     """From rows sorted by (word, size): pairs of an earlier line ``a`` and an open line
     ``b`` that pass all filters for one word, ``best`` for each b, and how many words
     they must share in all.
 
-    A row with no ``b`` says that ``a`` had partners that were not handed on.
+    A row with no ``b`` says that ``a`` had partners that were not handed on.  With
+    ``twice`` open lines have a row more, which is not marked and serves as a partner.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +246,9 @@ def _candidates(best: int):
             old, n = len(kept[0]), len(word)
             partners = partners.grown(n - old)
             size, place = meta >> 32, meta & 0xFFFFFFFF
-            i = np.arange(n)
+            # Words without an open line are passed over.
+            start = np.flatnonzero(np.diff(word, prepend=word[0] ^ 1))
+            i = np.flatnonzero(np.repeat(np.logical_or.reduceat(open_, start), np.diff(np.append(start, n))))
             for step in range(1, REACH + 2):
                 i = i[i + step < n]
                 j = i + step
@@ -253,12 +256,14 @@ def _candidates(best: int):
                 i, j = i[close], j[close]
                 if not len(i):
                     break
-                fresh = (j >= old) & (open_[i] | open_[j])
-                a, b = i[fresh], j[fresh]
-                if step > REACH:
-                    partners.missed[a[open_[a]]] = True
-                    partners.missed[b[open_[b]]] = True
+                new_pair = j >= old
+                i_, j_ = i[new_pair], j[new_pair]
+                if step > REACH:  # an open row has more neighbours, whoever they are
+                    partners.missed[i_[open_[i_]]] = True
+                    partners.missed[j_[open_[j_]]] = True
                     break
+                looks = (open_[i_] != open_[j_]) & (line[i_] != line[j_]) if twice else open_[i_] | open_[j_]
+                a, b = i_[looks], j_[looks]
                 # The later line of a pair looks for a partner.
                 behind = line[a] > line[b]
                 wanted = np.where(behind, open_[a], open_[b])
@@ -301,20 +306,15 @@ def _prefix_rows(lines: DataFrame) -> DataFrame:
 
 def _pairs(lines: DataFrame, open_: DataFrame | None, best: int) -> DataFrame:
     """Candidates of the open lines (None: of all), ``best`` for each word."""
-    rows_ = _prefix_rows(lines)
-    if open_ is None:
-        rows_ = rows_.withColumn("open", F.lit(True))
-    else:
-        # Only words that an open line has.
-        words = _prefix_rows(lines.join(open_, "line", "left_semi")).select("word").distinct()
-        rows_ = rows_.join(words, "word", "left_semi").join(open_.withColumn("open", F.lit(True)), "line", "left")
-        rows_ = rows_.select("word", "meta", "line", "bits", "more_bits", F.coalesce("open", F.lit(False)).alias("open"))
-    # Dealt by a value made of the word: were it the word itself, as in the join before it,
-    # Spark would take the second exchange out, and a join that AQE turns into a broadcast
-    # then leaves rows of one word in several partitions.
+    rows_ = _prefix_rows(lines).withColumn("open", F.lit(open_ is None))
+    if open_ is not None:
+        # Open lines, few, come once more to look for partners among all rows, so no row
+        # has to be joined with a mark.
+        looking = _prefix_rows(lines.join(open_, "line", "left_semi"))
+        rows_ = rows_.unionByName(looking.withColumn("open", F.lit(True)))
     return (
-        rows_.repartition(F.xxhash64("word")).sortWithinPartitions("word", "meta", "line")
-        .mapInArrow(_candidates(best), "a long, b long, need long").transform(_enough_words)
+        rows_.repartition("word").sortWithinPartitions("word", "meta", "line")
+        .mapInArrow(_candidates(best, twice=open_ is not None), "a long, b long, need long").transform(_enough_words)
     )
 
 
