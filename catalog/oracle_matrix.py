@@ -6,17 +6,14 @@ from auditrank import fixed_values as fv
 from catalog.oracle_ledger import T01, T02, T03, T04, T05, T06
 from catalog.sqlparts import chain
 
-TESTS = [f"teste_0{i}" for i in range(1, 7)]
+TESTS = list(fv.TESTS)
 AMOUNTS = [
     "valor_total_titulos_vencidos_abertos_30d", "valor_primeira_compra", "valor_total_estornos_cliente",
     "maior_valor_estorno_cliente", "saldo_total_aberto_cliente", "maior_saldo_aberto_em_um_centro",
     "valor_total_titulos_prorrogados", "maior_valor_titulo_prorrogado", "valor_total_faturado_cliente",
     "valor_total_devolvido_cliente",
 ]
-REFERENCE_VALUES = [
-    "valor_total_titulos_vencidos_abertos_30d", "valor_primeira_compra", "valor_total_estornos_cliente",
-    "saldo_total_aberto_cliente", "valor_total_titulos_prorrogados", "valor_total_devolvido_cliente",
-]
+REFERENCE_VALUES = list(fv.REFERENCE_VALUE_COLUMNS)
 COUNTS = [
     "qtd_titulos_vencidos_abertos_30d", "qtd_estornos_cliente", "qtd_usuarios_estorno", "qtd_titulos_abertos_cliente",
     "qtd_titulos_prorrogados_cliente", "qtd_prorrogacoes_cliente", "qtd_notas_faturadas_cliente",
@@ -28,24 +25,13 @@ ORDINALS = [f"{kind}_{t}" for kind in ("criticidade", "score") for t in TESTS]
 TEXTS = ["nome_cliente", "nivel_risco_teste_02", "nivel_risco_teste_03"]
 FOLDED = [*TESTS, *ORDINALS, *COUNTS, *AMOUNTS]
 
-VARIABLES = [
-    *TESTS, "qtd_titulos_vencidos_abertos_30d", "qtd_estornos_cliente", "qtd_usuarios_estorno",
-    "qtd_titulos_abertos_cliente", "qtd_titulos_prorrogados_cliente", "qtd_prorrogacoes_cliente",
-    "qtd_notas_faturadas_cliente", "qtd_notas_devolucao_cliente", "qtd_testes_com_indicio", "qtd_linhas_consolidadas",
-    "valor_total_titulos_vencidos_abertos_30d", "maior_dias_vencido_teste_01", "valor_primeira_compra",
-    "dias_atraso_primeira_compra", "valor_total_estornos_cliente", "maior_valor_estorno_cliente",
-    "saldo_total_aberto_cliente", "maior_saldo_aberto_em_um_centro", "maior_perc_cliente_sobre_centro",
-    "valor_total_titulos_prorrogados", "maior_valor_titulo_prorrogado", "dias_prorrogados_total_cliente",
-    "maior_dias_prorrogados_mesmo_titulo", "maior_prorrogacao_individual_dias", "valor_total_faturado_cliente",
-    "valor_total_devolvido_cliente", "perc_devolucao_sobre_faturamento_recalculado", "valor_referencia_priorizacao",
-    *ORDINALS, "score_ponderado_binario", "score_total_criticidade", "score_ponderado_auditoria",
-]
+VARIABLES = [*TESTS, *fv.FREQUENCY_VARIABLES, *fv.CONTINUOUS_VARIABLES, *ORDINALS, *fv.TOTAL_SCORES]
 DESCRIBED = list(fv.DESCRIBED_VARIABLES)
 
 _fold = ", ".join([f"max({c}) AS {c}" for c in FOLDED] + [f"min({c}) AS {c}" for c in TEXTS])
 _doubled = ", ".join(f"CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}" for c in [*ORDINALS, *REFERENCE_VALUES])
 _plus = " + ".join
-_weights = dict(zip(TESTS, (3, 3, 3, 2, 3, 2)))
+_weights = dict(fv.BINARY_WEIGHTS)
 
 MATRIX = T01 | T02 | T03 | T04 | T05 | T06 | {
     "stacked": """
