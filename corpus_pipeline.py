@@ -1,7 +1,10 @@
 """Clean a corpus and encode it: five stages, each a table in the shared folder.
 
 Every stage takes all that its predecessor kept.  Stages but the last return the
-columns of their input; the last one adds the tokens.
+columns of their input; the last one adds the tokens and the digest of what they
+decode to.  Null and empty texts pass every stage that does not reject them and end
+with no tokens; very long texts are taken whole; rows that are equal in all columns
+are near copies of each other, of which one stays; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -50,10 +53,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole texts as token ids."""
+    """Whole texts as token ids, and the digest of the text that they decode to."""
     ship(spark)
-    encoded = bpe.encode(docs, vocabulary_path(), "token_ids")
-    return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+    path = vocabulary_path()
+    (again,) = unused(docs, "_decoded")
+    decoded = bpe.decode(bpe.encode(docs, path, "token_ids"), path, "token_ids", again)
+    return (
+        decoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+        .withColumn("decoded_sha256", F.sha2(F.encode(again, "utf-8"), 256))
+        .drop(again)
+    )
 
 
 STAGES = [
