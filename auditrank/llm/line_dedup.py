@@ -11,11 +11,13 @@ it has a Jaccard similarity of at least 4/5 with it.
 3. Each remaining line puts its rarest words (the prefix that two lines as
    similar as asked must share a word of) into a shuffle by word.  Rows of a word
    stream by in order of size; pairs must pass the length, the positional and a
-   bitmap filter, and long lines must share several words of longer prefixes.
+   bitmap filter (64 bits, 256 for long lines), and long lines must share several words
+   of longer prefixes.
 4. A line needs only one similar line before it.  So each line is first given its
-   nearest earlier candidate of each word; lines that this did not remove, and that
+   nearest earlier candidates of each word; lines that this did not remove, and that
    had more, get more (``ROUNDS``), and what is still open then is compared with
-   every candidate.  A hot group of similar lines makes no square of pairs.
+   every candidate.  Later rounds read only words of open lines.  A hot group of
+   similar lines makes no square of pairs.
 5. Pairs are verified on the words of both lines.
 
 Defined results: a NULL text stays NULL.  Lines without words stay.  Rows equal
@@ -27,10 +29,12 @@ text; a NULL doc_id comes last.  Other columns pass through unchanged.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +51,14 @@ _PARTS = 16
 #: Following rows of the same word that one pass compares a row with.
 REACH = 1024
 #: Earlier partners per line and word that each round hands on.
-ROUNDS = (1, 16)
+ROUNDS = (4, 32)
+#: Words, and prefix rows, of open lines up to which they are broadcast (a few MB).
+SENT_WORDS, SENT_ROWS = 1 << 17, 1 << 16
 
-#: Lines of more words have a second bitmap and must share more than one word of
-#: their prefixes.
+#: Lines of more words have a bitmap of 256 bits instead of 64 and must share more than
+#: one word of their prefixes.
 LONG = 48
+_BITS = ("bits", "bits_2", "bits_3", "bits_4")
 
 _KEY = ("doc_id", "_text_key", "line_no")
 _SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -115,8 +122,7 @@ _SETS = T.StructType(
         T.StructField("set_a", T.LongType()),
         T.StructField("set_b", T.LongType()),
         T.StructField("size", T.IntegerType()),
-        T.StructField("bits", T.LongType()),
-        T.StructField("more_bits", T.LongType()),
+        *(T.StructField(name, T.LongType()) for name in _BITS),
         T.StructField("prefix", T.ArrayType(T.IntegerType())),
     ]
 )
@@ -160,9 +166,9 @@ def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | Non
     key = key[new]
     begin = np.cumsum(size) - size
     place = mix(key)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (place & np.uint64(63)), begin)
-    second = np.bitwise_xor.reduceat(np.uint64(1) << ((place >> np.uint64(6)) & np.uint64(63)), begin)
-    second[size <= LONG] = 0
+    bit, part = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) & np.uint64(3)
+    part[np.repeat(size <= LONG, size)] = 0
+    bits = [np.bitwise_xor.reduceat(np.where(part == k, bit, np.uint64(0)), begin) for k in range(len(_BITS))]
     set_a = np.add.reduceat(mix(key ^ np.uint64(0x5851F42D4C957F2D)), begin)
     set_b = np.add.reduceat(mix(key ^ np.uint64(0x14057B7EF767814F)), begin)
     length = size - _least_overlap(size) + _shared_words(size)
@@ -176,8 +182,7 @@ def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | Non
         pa.array(set_a.view(np.int64)),
         pa.array(set_b.view(np.int64)),
         pa.array(size, pa.int32()),
-        pa.array(bits.view(np.int64)),
-        pa.array(second.view(np.int64)),
+        *(pa.array(x.view(np.int64)) for x in bits),
         prefix,
     ]
 
@@ -238,14 +243,16 @@ def _candidates(best: int, twice: bool = False):
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.uint64, np.uint64, np.bool_)]
+        kept = [np.zeros(0, k) for k in (np.int32, np.int64, np.int64, *[np.uint64] * len(_BITS), np.bool_)]
         partners = _Partners(best)
         for batch in rows(batches):
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            word, meta, line, bits, second, open_ = (np.concatenate((x, y.view(x.dtype))) for x, y in zip(kept, new))
-            old, n = len(kept[0]), len(word)
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(kept))]
+            kept = [np.concatenate((x, y.view(x.dtype))) for x, y in zip(kept, new)]
+            word, meta, line, *bits, open_ = kept
+            old, n = len(word) - batch.num_rows, len(word)
             partners = partners.grown(n - old)
             size, place = meta >> 32, meta & 0xFFFFFFFF
+            folded = np.bitwise_xor.reduce(bits)  # what a bitmap of 64 bits would be
             # Words without an open line are passed over.
             start = np.flatnonzero(np.diff(word, prepend=word[0] ^ 1))
             i = np.flatnonzero(np.repeat(np.logical_or.reduceat(open_, start), np.diff(np.append(start, n))))
@@ -271,9 +278,9 @@ def _candidates(best: int, twice: bool = False):
                 both = size[a] + size[b]
                 least = -(-NUMERATOR * both // (NUMERATOR + DENOMINATOR))
                 after = np.minimum(size[a] - place[a], size[b] - place[b])
-                gap = np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64)
-                long = size[a] > LONG
-                gap[long] = np.maximum(gap[long], np.bitwise_count(second[a[long]] ^ second[b[long]]))
+                gap = np.bitwise_count(folded[a] ^ folded[b]).astype(np.int64)
+                long = np.flatnonzero(size[a] > LONG)  # the larger one is then long as well
+                gap[long] = sum(np.bitwise_count(x[a[long]] ^ x[b[long]]).astype(np.int64) for x in bits)
                 good = (np.minimum(place[a], place[b]) + after >= least) & (gap <= both - 2 * least)
                 a, b, gap, behind = a[good], b[good], gap[good], behind[good]
                 need = _shared_words(np.minimum(size[a], size[b]))
@@ -283,7 +290,7 @@ def _candidates(best: int, twice: bool = False):
             tail = max(_last_group(word), n - REACH - 1)
             yield from partners.rows(line, tail)
             partners = partners.from_row(tail)
-            kept = [x[tail:] for x in (word, meta, line, bits, second, open_)]
+            kept = [x[tail:] for x in kept]
         yield from partners.rows(kept[2], len(kept[2]))
 
     return run
@@ -295,23 +302,29 @@ def _last_group(word: np.ndarray) -> int:
 
 
 def _prefix_rows(lines: DataFrame) -> DataFrame:
-    return lines.select(F.posexplode("prefix").alias("place", "word"), "size", "line", "bits", "more_bits").select(
+    return lines.select(F.posexplode("prefix").alias("place", "word"), "size", "line", *_BITS).select(
         "word",
         (F.shiftleft(F.col("size").cast("long"), 32) + F.col("place")).alias("meta"),
         "line",
-        "bits",
-        "more_bits",
+        *_BITS,
     )
 
 
+def _of_words(rows_: DataFrame, looking: DataFrame) -> DataFrame:
+    """The prefix rows whose word some row of ``looking`` has."""
+    words = looking.select("word").distinct()
+    few = words.limit(SENT_WORDS + 1).count() <= SENT_WORDS
+    return rows_.join(F.broadcast(words) if few else words, "word", "left_semi")
+
+
 def _pairs(lines: DataFrame, open_: DataFrame | None, best: int) -> DataFrame:
     """Candidates of the open lines (None: of all), ``best`` for each word."""
     rows_ = _prefix_rows(lines).withColumn("open", F.lit(open_ is None))
     if open_ is not None:
         # Open lines, few, come once more to look for partners among all rows, so no row
         # has to be joined with a mark.
-        looking = _prefix_rows(lines.join(open_, "line", "left_semi"))
-        rows_ = rows_.unionByName(looking.withColumn("open", F.lit(True)))
+        looking = stage(_prefix_rows(lines.join(open_, "line", "left_semi")), "open-rows")
+        rows_ = _of_words(rows_, looking).unionByName(looking.withColumn("open", F.lit(True)))
     return (
         rows_.repartition("word").sortWithinPartitions("word", "meta", "line")
         .mapInArrow(_candidates(best, twice=open_ is not None), "a long, b long, need long").transform(_enough_words)
@@ -325,26 +338,29 @@ def _enough_words(pairs: DataFrame) -> DataFrame:
 
 def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
     """Every pair of a line of ``unsure`` and an earlier one that passes the filters."""
-    one = _prefix_rows(lines.join(unsure, "line", "left_semi")).select(
-        "word", F.col("meta").alias("m1"), F.col("line").alias("l1"), F.col("bits").alias("b1"),
-        F.col("more_bits").alias("c1"),
+    looking = stage(_prefix_rows(lines.join(unsure, "line", "left_semi")), "open-rows")
+    own = [f"own_{name}" for name in _BITS]
+    one = looking.select(
+        "word", F.col("meta").alias("m1"), F.col("line").alias("l1"), *(F.col(x).alias(y) for x, y in zip(_BITS, own))
     )
     size1, size2 = F.shiftright("m1", 32), F.shiftright("meta", 32)
     place1, place2 = F.col("m1") % (1 << 32), F.col("meta") % (1 << 32)
     both = size1 + size2
     least = F.ceil(NUMERATOR * both / F.lit(NUMERATOR + DENOMINATOR))
+    differ = [F.col(x).bitwiseXOR(F.col(y)) for x, y in zip(_BITS, own)]
+    gap = F.when(F.least(size1, size2) > LONG, reduce(add, map(F.bit_count, differ))).otherwise(
+        F.bit_count(reduce(Column.bitwiseXOR, differ))
+    )
     fits = (
         (F.col("line") < F.col("l1"))
         & (NUMERATOR * F.greatest(size1, size2) <= DENOMINATOR * F.least(size1, size2))
         & (F.least(place1, place2) + F.least(size1 - place1, size2 - place2) >= least)
-        & (F.bit_count(F.col("b1").bitwiseXOR(F.col("bits"))) <= both - 2 * least)
-        & (
-            (F.least(size1, size2) <= LONG)
-            | (F.bit_count(F.col("c1").bitwiseXOR(F.col("more_bits"))) <= both - 2 * least)
-        )
+        & (gap <= both - 2 * least)
     )
     need = 1 + F.floor(F.least(size1, size2) / F.lit(LONG))
-    rest = _prefix_rows(lines)
+    rest = _of_words(_prefix_rows(lines), looking)
+    if looking.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        one = F.broadcast(one)
     found = one.join(rest, (one["word"] == rest["word"]) & fits).select(
         "l1", F.col("line").alias("l2"), need.alias("need")
     )
@@ -391,9 +407,9 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs.where(F.col("text").isNotNull()))
     sets = line_sets(keyed, word_order(keyed))
     firsts = (
-        sets.groupBy("set_a", "set_b", "size", "bits", "more_bits", "prefix")
+        sets.groupBy("set_a", "set_b", "size", *_BITS, "prefix")
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), *_KEY)).alias("at"))
-        .select("at.doc_id", "at._text_key", "at.line_no", "size", "bits", "more_bits", "prefix")
+        .select("at.doc_id", "at._text_key", "at.line_no", "size", *_BITS, "prefix")
     )
     # Numbers in corpus order: of a pair, the line with the larger one goes.
     lines = numbered(firsts, [F.col("doc_id").isNull(), *map(F.col, _KEY)], "line")

@@ -73,6 +73,22 @@ def test_line_dedup_of_many_similar_lines(spark, monkeypatch, reach, rounds):
     assert _lines(spark.createDataFrame(rows, DOC)) == line_dedup.brute_force(rows)
 
 
+@pytest.mark.parametrize("reach, rounds", [(1024, (4, 32)), (0, (1,))])
+@pytest.mark.parametrize("sent", [0, 1 << 16])
+def test_line_dedup_of_lines_around_the_wide_bitmap(spark, monkeypatch, reach, rounds, sent):
+    monkeypatch.setattr(line_dedup, "REACH", reach)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(line_dedup, "SENT_WORDS", sent)
+    monkeypatch.setattr(line_dedup, "SENT_ROWS", sent)
+    rng, rows = random.Random(8), []
+    for base in range(12):
+        words_ = [f"w{rng.randrange(700)}" for _ in range(rng.choice([44, 50, 60, 160, 500]))]
+        for _ in range(6):
+            line = [w if rng.random() > 0.11 else f"x{rng.randrange(10**6)}" for w in words_]
+            rows.append((len(rows), " ".join(line[: len(line) - rng.randrange(8)])))
+    assert _lines(spark.createDataFrame(rows, DOC)) == line_dedup.brute_force(rows)
+
+
 def test_line_dedup_of_odd_rows(spark):
     rows = [(1, "a b c\n\n  \na b c"), (1, "a b c\n\n  \na b c"), (2, "A  b c"), (3, None), (4, ""), (None, "c b a\nnew one")]
     out = line_dedup.dedup_lines(_clashing(spark, rows))
