@@ -362,7 +362,7 @@ ORDER BY left(md5(CAST(1000000000 + c_custkey AS VARCHAR) || '|42'), 15), 1 LIMI
 SELECT CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS id_cliente,
        CASE WHEN o_orderstatus <> 'P' THEN 'Código São João' END AS nome_cliente,
        CAST(round(o_totalprice * 100) AS BIGINT) / 100.0::DOUBLE AS valor_pedido, o_orderkey % 7 AS qtd_itens
-FROM orders WHERE o_totalprice >= 1000""",
+FROM orders""",
     "file_matrix": """
 SELECT id_cliente, max(nome_cliente) AS nome_cliente, max(valor_pedido) AS valor_pedido,
        CAST(max(qtd_itens) AS DOUBLE) AS qtd_itens, count(*) AS qtd_linhas_consolidadas

@@ -207,9 +207,10 @@ def _file_matrix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     units, rest = F.floor(cents / 100), F.lpad((cents % 100).cast("string"), 2, "0")
-    grouped = F.concat(F.floor(units / 1000).cast("string"), F.lit("."), F.lpad((units % 1000).cast("string"), 3, "0"), F.lit(","), rest)
+    thousands = F.regexp_replace(units.cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
+    grouped = F.concat(thousands, F.lit(","), rest)
     blank = F.when(F.col("o_orderpriority") == "5-LOW", "  ").otherwise(F.concat(F.lit(" "), F.col("o_custkey").cast("string")))
-    text = orders.where(F.col("o_totalprice") >= 1000).select(
+    text = orders.select(
         blank.alias(" id_cliente "),
         F.when(F.col("o_orderstatus") == "P", "").otherwise(F.lit("Código São João")).alias("nome_cliente"),
         grouped.alias("valor_pedido "),
