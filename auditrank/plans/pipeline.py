@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from auditrank import params
-from auditrank.operators.consolidate import checked_input, consolidate, input_checks, without_old_model
+from auditrank.operators.consolidate import KEY, checked_input, consolidate, without_old_model
 from auditrank.operators.features import median_table
 from auditrank.operators.numbers import as_numbers
 from auditrank.operators.pca import variance_table
@@ -92,6 +93,20 @@ def report_tables(run: ModelRun, with_stability: bool = False) -> dict[str, Data
     }
 
 
+def _write_rejected(rejected: DataFrame, path: str) -> DataFrame:
+    """Write the rows left out; one row of counts by reason, taken while writing."""
+    seen = Observation()
+    reasons = {
+        "linhas_originais": F.count(F.lit(1)),
+        "linhas_id_nulo": F.count_if(F.col(KEY).isNull()),
+        "linhas_id_em_branco": F.count_if(F.col(KEY) == ""),
+    }
+    write_parquet(rejected.observe(seen, *(count.alias(name) for name, count in reasons.items())), path)
+    # A plan that Spark finds to be empty before it runs has nothing to observe.
+    counts = {name: seen.get.get(name, 0) for name in reasons}
+    return rejected.sparkSession.range(1).select(*(F.lit(n).cast("long").alias(name) for name, n in counts.items()))
+
+
 def write_run(
     consolidated: DataFrame,
     folder: str,
@@ -110,9 +125,7 @@ def write_run(
     consolidated = spark.read.parquet(plain)
     write_csv(consolidated, f"{folder}/matriz_consolidada_csv")
     if rejected is not None:
-        write_parquet(rejected, f"{folder}/linhas_rejeitadas")
-        counts = input_checks(spark.read.parquet(f"{folder}/linhas_rejeitadas"))
-        write_parquet(counts.select("linhas_originais", "linhas_id_nulo", "linhas_id_em_branco"), f"{folder}/contagem_rejeitadas")
+        write_parquet(_write_rejected(rejected, f"{folder}/linhas_rejeitadas"), f"{folder}/contagem_rejeitadas")
     run = run_model(consolidated, settings)
     scored = f"{folder}/matriz_com_modelo"
     write_parquet(run.matrix, scored)

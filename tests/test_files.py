@@ -115,6 +115,17 @@ def test_ledger_to_reports(spark, sf, tmp_path):
     assert spark.read.parquet(f"{folder}/correlacao_testes").count() == 6
 
 
+def test_rejected_rows_are_counted_while_they_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("1",), (None,), (" ",), ("",), (None,)], "id_cliente string")
+    _, rejected = pipeline.checked_input(rows)
+    names = ["linhas_originais", "linhas_id_nulo", "linhas_id_em_branco"]
+    for k, (given, want) in enumerate([(rejected, (4, 2, 2)), (rejected.where("id_cliente = 'x'"), (0, 0, 0)), (rejected.where("false"), (0, 0, 0))]):
+        path = str(tmp_path / str(k))
+        counts = pipeline._write_rejected(given, path)
+        assert counts.columns == names and [tuple(r) for r in counts.collect()] == [want]
+        assert spark.read.parquet(path).count() == want[0]
+
+
 def test_ledger_readers(spark, sf, tmp_path):
     views = ledger_views(spark, sf)
     paths = {}
