@@ -18,6 +18,7 @@ from auditrank.operators import quantiles as q
 from auditrank.operators.quantiles import exact_quantiles
 from auditrank.operators.sampling import fixed_size_sample
 from auditrank.plans.indicators import model_variables, with_indicators
+from auditrank.plans.levels import with_percentile_levels
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -53,6 +54,33 @@ def test_quantiles_equal_brute_force(spark, accuracy):
         assert np.allclose([out[c][p] for p in probabilities], expected, rtol=1e-12, atol=1e-12)
 
 
+def _discrete(values, share):
+    return sorted(values)[max(1, -(-len(values) * round(share * 100) // 100)) - 1]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 7])
+def test_discrete_quantiles_equal_brute_force(spark, accuracy):
+    rng = np.random.default_rng(5)
+    cents = pd.DataFrame({"few": rng.integers(1, 9, 3_000) * 100, "many": rng.integers(1, 10**8, 3_000)})
+    shares = [0.0, 0.1, 0.75, 0.9, 1.0]
+    for kind in (q.NUMERIC, "double"):
+        df = spark.createDataFrame(cents).repartition(5)
+        df = df.select(*((F.col(c) / 100).cast("decimal(20,2)").cast(kind).alias(c) for c in cents)).unionByName(
+            spark.range(3).selectExpr(*(f"CAST(NULL AS {kind}) AS {c}" for c in cents))
+        )
+        found = q.discrete_quantiles(df, list(cents), shares, accuracy)
+        for c in cents:
+            assert [round(found[c][s] * 100) for s in shares] == [_discrete(cents[c].tolist(), s) for s in shares]
+        assert q.discrete_quantiles(df.where("few < 0"), ["few"], [0.75], accuracy) == {"few": {0.75: None}}
+
+
+def test_levels_rest_on_exact_cuts(spark):
+    """A rough sketch must not move a cut: 251 of 1,000 rows from 750 on, 101 from 900 on."""
+    df = spark.range(1, 1_001, numPartitions=6).selectExpr("id", "CAST(id AS DOUBLE) / 1000 AS share")
+    out = with_percentile_levels(df, "share", "04", 10).groupBy().agg(F.sum("teste_04"), F.count_if(F.col("score_teste_04") == 2))
+    assert tuple(out.first()) == (251, 101)
+
+
 @pytest.mark.parametrize("one_task", [1_000_000, 10])
 def test_missed_bracket_becomes_the_whole_column(spark, monkeypatch, one_task):
     """A sketch that misses the wanted ranks must not change the result."""
