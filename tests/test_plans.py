@@ -48,6 +48,18 @@ def test_excluded_ids_are_broadcast_and_the_ledger_stays(stored):
     assert text.count("WindowGroupLimit") >= 2 and len(re.findall(r"\) Exchange\n", text)) == 1
 
 
+def test_repeated_excluded_ids_are_folded_before_the_join(spark):
+    """A table with very many rows of few ids must not reach the join row by row."""
+    from pyspark.sql import functions as F
+
+    from auditrank.operators.exclusion import without_excluded
+
+    rows = spark.range(100).select((F.col("id") % 5).alias("k"))
+    left = without_excluded(rows, "k", spark.range(3_000).select((F.col("id") % 2).alias("id")))
+    assert "HashAggregate" in plan(left).split("= Subqueries =")[0]
+    assert sorted({r.k for r in left.collect()}) == [2, 3, 4] and left.count() == 60
+
+
 def test_reversals_prune_items_and_join_inner(stored):
     text = plan(reversals.summarised(stored, REVERSALS))
     items = [s for s in scans(text) if "HKONT" in s[1]][0]
