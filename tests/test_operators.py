@@ -14,6 +14,7 @@ from auditrank.operators import consolidate as co
 from auditrank.operators.features import feature_stats
 from auditrank.operators.numbers import as_numbers, brazilian_columns
 from auditrank.operators.ordering import numbered, ranked, with_previous
+from auditrank.operators import ordering
 from auditrank.operators import quantiles as q
 from auditrank.operators.quantiles import exact_quantiles
 from auditrank.operators.sampling import fixed_size_sample
@@ -202,6 +203,27 @@ def test_long_groups_get_the_same_predecessors(spark):
     assert hot[0] is None and all(hot[i] == float((i - 1) ** 2) for i in range(1, 200))
 
 
+def test_small_groups_need_no_range_layout(spark, monkeypatch):
+    """Groups get their predecessors from a window; those above the limit from ranges, with equal rows."""
+    rows = [("hot", i, i * i) for i in range(50)] + [(k, i, i) for k in ("a", None, "b") for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, o int, v int").repartition(4)
+    plain = df.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("o")))
+    names = []
+    staged = ordering.stage
+    monkeypatch.setattr(ordering, "stage", lambda df, name: names.append(df.count()) or staged(df, name))
+    for limit, laid_out in ((1_000, []), (10, [50])):
+        monkeypatch.setattr(ordering, "ONE_TASK", limit)
+        names.clear()
+        # Without coalescing, the long group fills several ranges.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            split = with_previous(df, ["k"], ["o"], "v", "before")
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert split.count() == len(rows) and plain.exceptAll(split.select(plain.columns)).isEmpty()
+        assert names == laid_out
+
+
 # --- consolidation ------------------------------------------------------------
 
 

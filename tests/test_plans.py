@@ -82,6 +82,14 @@ def test_only_one_row_sides_are_joined_without_key(stored):
         assert "Cartesian" not in text
 
 
+def test_matrix_tests_read_one_written_join(spark, sf):
+    """The six tests of a matrix run share the join of lines and documents."""
+    from catalog.queries_matrix import _results
+
+    for name, df in _results(spark, sf).items():
+        assert not any("lineitem.parquet" in f or "orders.parquet" in f for f in df.inputFiles()), name
+
+
 def test_global_ranks_use_no_single_partition_window_over_rows(spark):
     from pyspark.sql import functions as F
 
