@@ -76,10 +76,13 @@ def test_discrete_quantiles_equal_brute_force(spark, accuracy):
 
 
 def test_levels_rest_on_exact_cuts(spark):
-    """A rough sketch must not move a cut: 251 of 1,000 rows from 750 on, 101 from 900 on."""
-    df = spark.range(1, 1_001, numPartitions=6).selectExpr("id", "CAST(id AS DOUBLE) / 1000 AS share")
-    out = with_percentile_levels(df, "share", "04", 10).groupBy().agg(F.sum("teste_04"), F.count_if(F.col("score_teste_04") == 2))
-    assert tuple(out.first()) == (251, 101)
+    """A rough sketch must not move a cut."""
+    n = 20_011
+    shares = [(i * 7_919 % n + 1) / n for i in range(n)]
+    df = spark.createDataFrame(pd.DataFrame({"share": shares})).repartition(7)
+    out = with_percentile_levels(df, "share", "04", 10).agg(F.sum("teste_04"), F.count_if(F.col("score_teste_04") == 2))
+    cuts = [_discrete(shares, cut) for cut in (0.75, 0.9)]
+    assert list(out.first()) == [sum(v >= cut for v in shares) for cut in cuts]
 
 
 @pytest.mark.parametrize("one_task", [1_000_000, 10])
