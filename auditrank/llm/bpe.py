@@ -46,6 +46,8 @@ LEXICON_WORDS = 65_536
 LEXICON_WORD_BYTES = 64
 #: Distinct words a counting task or a worker's memo holds before it starts anew.
 MEMO_WORDS = 300_000
+#: The same for a memo that ends with its task, in a run that goes on to other work.
+TASK_MEMO_WORDS = 100_000
 
 #: White space separates words, so turning runs of it into one blank first would
 #: change nothing.  The second pattern is the first one for characters below
@@ -345,13 +347,13 @@ def lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
 class _Memo(dict):
     """Answers of a function for short texts; emptied when it is full."""
 
-    def __init__(self, answer):
-        self.answer = answer
+    def __init__(self, answer, size: int):
+        self.answer, self.size = answer, size
 
     def __missing__(self, text: str) -> bytes:
         found = self.answer(text)
         if len(text) <= LEXICON_WORD_BYTES:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.size:
                 self.clear()
             self[text] = found
         return found
@@ -360,10 +362,14 @@ class _Memo(dict):
 class Encoder:
     """Whole texts to ids; chunks met before are answered from a bounded memo."""
 
-    def __init__(self, path: str, words: Lexicon):
+    def __init__(self, path: str, words: Lexicon, memo_words: int = MEMO_WORDS):
         self.vocabulary, self.words = vocabulary(path), words
-        words_memo = _Memo(self._word)
-        self.memo = _Memo(lambda chunk: b"".join(map(words_memo.__getitem__, self.vocabulary.pieces(chunk))))
+        self.words_memo = words_memo = _Memo(self._word, memo_words)
+        self.memo = _Memo(lambda chunk: b"".join(map(words_memo.__getitem__, self.vocabulary.pieces(chunk))), memo_words)
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.words_memo.clear()
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
@@ -382,12 +388,15 @@ def decoded(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
     return pc.if_else(ids.is_valid(), pc.binary_join(lists, pa.scalar(" ", pa.large_string())), None)
 
 
-def _encoders(docs: DataFrame, path: str):
-    """A function that gives a task its encoder."""
+def _encoders(docs: DataFrame, path: str, kept: bool):
+    """A function that gives a task its encoder; one that is not ``kept`` has smaller
+    memos, which leave the worker with the task."""
     built = lexicon(docs, path)
     digest = hashlib.sha256(built).hexdigest()[:24]
     sent = docs.sparkSession.sparkContext.broadcast(built)
-    return lambda: _encoder(path, digest, lambda: sent.value)
+    if kept:
+        return lambda: _encoder(path, digest, lambda: sent.value)
+    return lambda: Encoder(path, opened(digest, lambda: sent.value), TASK_MEMO_WORDS)
 
 
 #: The worker's encoder; with it the memos outlive a task.
@@ -407,7 +416,7 @@ def encode(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
     A column of that name is replaced.
     """
     docs = docs.drop(ids)
-    encoder, text_at = _encoders(docs, path), docs.columns.index("text")
+    encoder, text_at = _encoders(docs, path, kept=False), docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder()
@@ -418,6 +427,7 @@ def encode(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
                 starts = pa.array(np.cumsum([0, *(len(x) // 4 for x in found)]), pa.int32())
                 arrays = [*part.columns, pa.ListArray.from_arrays(starts, flat)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
+        work.forget()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -447,7 +457,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     Encoding and decoding run in the same pass, so ids do not leave the worker.
     """
-    encoder = _encoders(docs, path)
+    encoder = _encoders(docs, path, kept=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, sha = encoder(), hashlib.sha256

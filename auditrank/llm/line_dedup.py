@@ -52,6 +52,8 @@ _PARTS = 16
 REACH = 1024
 #: Earlier partners per line and word that each round hands on.
 ROUNDS = (4, 32)
+#: Words of lines that a task holds as Python objects.
+WORDS_AT_ONCE = 1 << 15
 #: Words, and prefix rows, of open lines up to which they are broadcast (a few MB).
 SENT_WORDS, SENT_ROWS = 1 << 17, 1 << 16
 
@@ -367,26 +369,38 @@ def _rest(unsure: DataFrame, lines: DataFrame) -> DataFrame:
     return _enough_words(found.select(F.col("l2").alias("a"), F.col("l1").alias("b"), "need"))
 
 
-def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, distinct words) of the wanted lines."""
+def _words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(line, distinct words) of the picked lines of packed texts, in batches of bounded size."""
+
+    def table_of(found: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+        return pa.record_batch(
+            [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.string()))],
+            names=["line", "words"],
+        )
+
+    for batch in rows(batches):
+        found, n = [], 0
+        for text, picks in zip(batch.column(0), batch.column(1)):
+            parts = unpack(text.as_py()).lower().split(b"\n")
+            for p in picks.as_py():
+                words = sorted(set(parts[p["line_no"]].split()))
+                found.append((p["line"], words))
+                n += len(words)
+                if n >= WORDS_AT_ONCE:
+                    yield table_of(found)
+                    found, n = [], 0
+        if found:
+            yield table_of(found)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
-            out = []
-            for text, picks in zip(batch.column(0), batch.column(1)):
-                parts = unpack(text.as_py()).lower().split(b"\n")
-                out += [(p["line"], sorted(set(parts[p["line_no"]].split()))) for p in picks.as_py()]
-            yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string()))],
-                names=["line", "words"],
-            )
 
+def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, distinct words) of the wanted lines."""
     picks = wanted.groupBy("doc_id", "_text_key").agg(F.collect_list(F.struct("line_no", "line")).alias("picks"))
     docs = packed(docs)
     same = docs["doc_id"].eqNullSafe(picks["doc_id"]) & (docs["_text_key"] == picks["_text_key"])
     # Rows equal in doc_id and text would give the same line twice.
     once = docs.join(picks, same).select("text", "picks")
-    return once.mapInArrow(run, "line long, words array<string>")
+    return once.mapInArrow(_words_of, "line long, words array<string>")
 
 
 def _later(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:

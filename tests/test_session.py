@@ -1,6 +1,9 @@
 import time
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from auditrank.session import stage
 
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,3 +23,13 @@ def test_staged_table_leaves_no_shuffle_files(spark):
     assert not left
     assert table.count() == 1000
     assert spark.conf.get(FREED) == setting
+
+
+def test_staged_texts_pass_in_small_arrow_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["size"])
+
+    texts = spark.range(0, 5_000, 1, 1).select(F.repeat(F.lit("abcdefgh"), 512).alias("text"))
+    found = [r.size for r in stage(texts.mapInArrow(sizes, "size long"), "sizes").collect()]
+    assert sum(found) >= 5_000 * 4_096 and max(found) < 6 << 20
