@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditrank.llm.frames import rows
+from auditrank.llm.frames import rows, tidy
 
 #: Words compiled into the lexicon, and their longest length in bytes.
 LEXICON_WORDS = 65_536
@@ -319,7 +319,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
@@ -340,7 +340,7 @@ def lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> bytes:
         .limit(size)
         .select("word")
     )
-    found = frequent.mapInArrow(merged, "word string, ids array<int>").collect()
+    found = frequent.mapInArrow(tidy(merged), "word string, ids array<int>").collect()
     return compile_lexicon([(r["word"].encode(), r["ids"]) for r in found])
 
 
@@ -429,7 +429,7 @@ def encode(docs: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
         work.forget()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def _slices(batch: pa.RecordBatch, text_at: int, rows_each: int = 500) -> Iterator[pa.RecordBatch]:
@@ -449,7 +449,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", text: str = "d
                 arrays = [*part.columns, decoded(tokens, part.column(at)).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -480,4 +480,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 )
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditrank.llm.frames import rows, unused
+from auditrank.llm.frames import rows, tidy, unused
 from auditrank.llm.words import ALNUM_TABLE
 
 #: Words of a window.
@@ -60,7 +60,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     )
 
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text"))
-    return items.mapInArrow(cut, "window binary, item_id long").distinct()
+    return items.mapInArrow(tidy(cut), "window binary, item_id long").distinct()
 
 
 def _parts(values: list, size: int) -> Iterator[list]:
@@ -140,8 +140,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_rows
     for shard in range(shards):
         held = patterns.where(part == shard) if shards > 1 else patterns
         sent = spark.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in held.collect()])
-        out = out.mapInArrow(
-            _searcher(sent, docs.columns.index("text"), shard > 0), T.StructType([*docs.schema.fields, *state])
+        out = out.mapInArrow(tidy(_searcher(sent, docs.columns.index("text"), shard > 0)), T.StructType([*docs.schema.fields, *state])
         )
     pairs = F.expr(
         f"transform(sequence(0, size(`{names[1]}`) div 2 - 1, 1), "

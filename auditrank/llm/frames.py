@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -48,6 +49,30 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch for batch in batches if batch.num_rows)
 
 
+def tidy(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for a task, after which its worker gives the memory back that it took.
+
+    Spark keeps workers for later tasks, and more of them than cores where a stage passes
+    rows to Python twice.  Each would go on holding the most that any task needed.
+    """
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library's heap goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+    if trim:
+        trim(0)
+
+
 def packed(df: DataFrame, column: str = "text") -> DataFrame:
     """``df`` with a text column compressed, for a shuffle that only carries it.
 
@@ -65,7 +90,7 @@ def packed(df: DataFrame, column: str = "text") -> DataFrame:
 
     fields = list(df.schema.fields)
     fields[at] = T.StructField(column, T.BinaryType())
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def unpack(value: bytes) -> bytes:

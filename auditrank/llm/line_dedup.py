@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditrank.llm.frames import packed, rows, unpack, unused
+from auditrank.llm.frames import packed, rows, tidy, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, texts
 from auditrank.operators.ordering import numbered
 from auditrank.session import stage
@@ -97,7 +97,7 @@ def word_order(docs: DataFrame) -> np.ndarray:
         )
 
     kind = "part int, counts binary"
-    found = docs.select("text").mapInArrow(count, kind).repartition(_PARTS, "part").mapInArrow(add, kind).collect()
+    found = docs.select("text").mapInArrow(tidy(count), kind).repartition(_PARTS, "part").mapInArrow(tidy(add), kind).collect()
     total = np.zeros((_PARTS, size // _PARTS), np.int64)
     for part, counts in found:
         total[part] += np.frombuffer(counts, np.int64)
@@ -145,7 +145,7 @@ def line_sets(docs: DataFrame, order: np.ndarray) -> DataFrame:
                     at = pa.array(row + first)
                     yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), *columns], names=_SETS.names)
 
-    return docs.mapInArrow(run, _SETS)
+    return docs.mapInArrow(tidy(run), _SETS)
 
 
 def _sets_of(data: np.ndarray, cuts: np.ndarray, rank: np.ndarray) -> list | None:
@@ -329,7 +329,7 @@ def _pairs(lines: DataFrame, open_: DataFrame | None, best: int) -> DataFrame:
         rows_ = _of_words(rows_, looking).unionByName(looking.withColumn("open", F.lit(True)))
     return (
         rows_.repartition("word").sortWithinPartitions("word", "meta", "line")
-        .mapInArrow(_candidates(best, twice=open_ is not None), "a long, b long, need long").transform(_enough_words)
+        .mapInArrow(tidy(_candidates(best, twice=open_ is not None)), "a long, b long, need long").transform(_enough_words)
     )
 
 
@@ -400,7 +400,7 @@ def _line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     same = docs["doc_id"].eqNullSafe(picks["doc_id"]) & (docs["_text_key"] == picks["_text_key"])
     # Rows equal in doc_id and text would give the same line twice.
     once = docs.join(picks, same).select("text", "picks")
-    return once.mapInArrow(_words_of, "line long, words array<string>")
+    return once.mapInArrow(tidy(_words_of), "line long, words array<string>")
 
 
 def _later(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -478,7 +478,7 @@ def dedup_lines(docs: DataFrame, removed: str = "removed_lines") -> DataFrame:
 
     shape = T.StructType([*docs.schema.fields, T.StructField(removed, T.ArrayType(T.IntegerType()))])
     sent = packed(docs.withColumn(own, F.xxhash64("text")))
-    return sent.join(kept, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], keep).mapInArrow(run, shape)
+    return sent.join(kept, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], keep).mapInArrow(tidy(run), shape)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditrank.llm.components import components
-from auditrank.llm.frames import packed, rows, unpack, unused
+from auditrank.llm.frames import packed, rows, tidy, unpack, unused
 from auditrank.llm.words import NOT_SPACE, blocks, hash_words, mix, per_row, texts
 from auditrank.operators.ordering import numbered
 from auditrank.session import stage
@@ -178,7 +178,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 columns.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(keys[size > 0].ravel())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "body", "n", "set_a", "set_b", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, body long, n long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, body long, n long, set_a long, set_b long, keys array<long>")
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +408,7 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     keys = known.join(nodes, same).where("doc_id = node_doc AND body = node_body").dropDuplicates(["node"])
     shared = stage(
         keys.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
-        .mapInArrow(_shared, "key long, node long, place long"),
+        .mapInArrow(tidy(_shared), "key long, node long, place long"),
         "bands",
     )
     members = shared.select("node").distinct()
@@ -427,10 +427,10 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
         one = carried.select(F.col("node").alias("one"), F.col("text").alias("p1"))
         two = carried.select(F.col("node").alias("two"), F.col("text").alias("p2"))
         both = pairs.join(two, "two").join(one, "one").select("one", "two", "p1", "p2").sortWithinPartitions("one")
-        return stage(both.mapInArrow(_verified(words), "one long, two long"), "links")
+        return stage(both.mapInArrow(tidy(_verified(words)), "one long, two long"), "links")
 
     tested = stage(
-        shared.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_to_first, "one long, two long").distinct(),
+        shared.repartition("key").sortWithinPartitions("key", "place").mapInArrow(tidy(_to_first), "one long, two long").distinct(),
         "pairs",
     )
     found = found.unionByName(verify(tested))
@@ -438,13 +438,13 @@ def links(docs: DataFrame, words: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     for limit in LIMITS:
         open_rows = _open(shared, label)
         sketched = carried.join(open_rows.select("node").distinct(), "node", "left_semi").mapInArrow(
-            _registers_of(words), "node long, n long, registers binary, hashes binary"
+            tidy(_registers_of(words)), "node long, n long, registers binary, hashes binary"
         )
         offered = stage(
             open_rows.join(sketched, "node")
             .select("key", "left", "right", "node", "component", "n", "registers", "hashes", "outside")
             .repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "node")
-            .mapInArrow(_offer(limit), "one long, two long, sure boolean").distinct(),
+            .mapInArrow(tidy(_offer(limit)), "one long, two long, sure boolean").distinct(),
             "pairs",
         )
         sure = offered.where("sure").select("one", "two")

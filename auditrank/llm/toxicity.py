@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditrank.llm.frames import rows, unused
+from auditrank.llm.frames import rows, tidy, unused
 from auditrank.llm.words import ALNUM_TABLE
 
 #: Most labelled rows a model is fitted on.
@@ -125,7 +125,7 @@ def _features(sample: DataFrame, features: int) -> list[tuple[bytes, bool]]:
     p, q = (F.col("toxic") + 0.5) / (toxic + 1), (F.col("clean") + 0.5) / (clean + 1)
     z = F.abs(p - q) / F.sqrt(p * (1 - p) / toxic + q * (1 - q) / clean)
     best = (
-        sample.select("text", "grade").mapInArrow(_tell_apart, "word binary, toxic long, clean long")
+        sample.select("text", "grade").mapInArrow(tidy(_tell_apart), "word binary, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") + F.col("clean") >= LEAST_ROWS) & (z >= LEAST_Z))
         .orderBy(z.desc(), "word")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
             )
 
     held = sample.select("text", "grade").mapInArrow(
-        count, "at array<int>, n array<int>, marked long, grade int"
+        tidy(count), "at array<int>, n array<int>, marked long, grade int"
     ).collect()
     x = np.zeros((len(held), len(names)), np.float32)
     for i, r in enumerate(held):
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         T.StructField("grade", T.IntegerType()),
         T.StructField("toxic", T.BooleanType()),
     ]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
