@@ -44,8 +44,11 @@ from auditrank.llm.frames import rows, tidy
 #: Words compiled into the lexicon, and their longest length in bytes.
 LEXICON_WORDS = 65_536
 LEXICON_WORD_BYTES = 64
-#: Distinct words a counting task or a worker's memo holds before it starts anew.
+#: Distinct words a counting task holds before it hands them on and starts anew.
 MEMO_WORDS = 300_000
+#: Distinct words a worker's memo holds before it starts anew.  The words of a few tasks
+#: fit, so rare ones are not merged again for each.
+KEPT_MEMO_WORDS = 600_000
 #: The same for a memo that ends with its task, in a run that goes on to other work.
 TASK_MEMO_WORDS = 100_000
 
@@ -101,6 +104,7 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {pair: i for i, pair in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in plan["added_tokens"]}
+        self.plain_letters = not any(s.isalpha() for s in self.special)
         self.tokens = [""] * (1 + max([*self.ids.values(), *self.special.values()]))
         for token, i in [*self.ids.items(), *self.special.items()]:
             self.tokens[i] = token
@@ -117,6 +121,8 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """Words of a text; control strings stand as they are."""
+        if self.plain_letters and text.isascii() and text.isalpha():
+            return [text.lower()]  # one word by either pattern
         if self.control is None or not any(s in text for s in self.special):
             return self._split(text)
         out, at = [], 0
@@ -362,7 +368,7 @@ class _Memo(dict):
 class Encoder:
     """Whole texts to ids; chunks met before are answered from a bounded memo."""
 
-    def __init__(self, path: str, words: Lexicon, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, words: Lexicon, memo_words: int = KEPT_MEMO_WORDS):
         self.vocabulary, self.words = vocabulary(path), words
         self.words_memo = words_memo = _Memo(self._word, memo_words)
         self.memo = _Memo(lambda chunk: b"".join(map(words_memo.__getitem__, self.vocabulary.pieces(chunk))), memo_words)
