@@ -4,10 +4,11 @@ import re
 
 import pytest
 
-from auditrank.plans import first_purchase, open_items, returns, reversals
-from auditrank.sources.erp_views import ledger_views
+from auditrank.plans import extensions, first_purchase, levels, open_items, returns, reversals
+from auditrank.sources.erp_views import due_date_changes, ledger_views
 from auditrank.sources.tables import read_ledger
-from catalog.queries_ledger import CENTRE, FIRST, OPEN, RETURNS, REVERSALS
+from catalog import queries_matrix
+from catalog.queries_ledger import CENTRE, EXTENSIONS, FIRST, OPEN, RETURNS, REVERSALS
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +101,37 @@ def test_global_ranks_use_no_single_partition_window_over_rows(spark):
     # The unpartitioned window sees partition sizes, one row per range.
     before_window = text.split("SinglePartition")[0]
     assert "HashAggregate" in before_window
+
+
+def test_lines_are_shuffled_by_numbers_in_the_due_date_log(spark, sf):
+    """Every line meets the window of test 05: no text but the customer's id, amounts as longs."""
+    changes = due_date_changes(spark, sf)
+    kinds = {f.name: f.dataType.simpleString() for f in changes.schema}
+    assert kinds["BELNR"] == "bigint" and kinds["VERSION"].startswith("struct")
+    assert [n for n, kind in kinds.items() if kind == "string"] == ["KUNNR"]
+    window = re.search(r"\) Sort\nInput \[\d+\]: \[[^\n]*versao[^\n]*\nArguments: \[documento", plan(extensions.extended_titles(changes, EXTENSIONS)))
+    assert window, "the number that differs most is compared first"
+
+
+def test_open_balances_are_folded_once(stored, monkeypatch):
+    """Test 04 needs them for the centres and for the customers."""
+    staged = levels.stage
+    texts = []
+    monkeypatch.setattr(levels, "stage", lambda df, name: texts.append(plan(df)) or staged(df, name))
+    open_items.open_balance_concentration(stored, OPEN, CENTRE)
+    assert len(texts) == 1 and not [s for s in scans(texts[0]) if "H_BUDAT" in s[1]]
+
+
+def test_copies_are_made_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 2.5), ("b", 0, 1.5), ("c", None, None)], "id string, teste_01 int, v double").write.parquet(str(tmp_path / "m"))
+    rows = spark.read.parquet(str(tmp_path / "m"))
+    copied = queries_matrix._with_copies(rows)
+    assert copied.columns == rows.columns and len(re.findall(r"\) Scan parquet", plan(copied))) == 1
+    assert sorted(r.id for r in copied.collect()) == ["a", "a", "b", "c"]
+
+
+def test_reversal_keys_are_compared_by_document_first(stored):
+    """Client and company are the same for many rows, so a sort that starts with them compares all keys."""
+    text = plan(reversals.reversal_document_values(stored, REVERSALS))
+    keys = re.findall(r"Left keys \[4\]: \[(\w+)", text)
+    assert keys and set(keys) == {"BELNR"}
